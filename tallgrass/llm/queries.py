@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_count
+from . import exact_dedup, packing, quality, sanitise, token_count
 
 QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_counts": token_count.op7_token_counts,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_personal_data": sanitise.op10_personal_data,
 }
 
 #: Token ids, transducers, suffix structures, MinHash and trained models have no SQL form.
 ORACLE_SQL = {
+    "op8_quality_rules": quality.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_personal_data": sanitise.OP10_SQL,
 }
