@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bayes_join, exact_dedup, importance, packing, quality, sanitise, token_count
+from . import bayes_join, exact_dedup, importance, packing, quality, repeats, sanitise, token_count
 
 QUERIES = {
     "op2_ngram_join": bayes_join.op2_ngram_join,
+    "op4_repeated_strings": repeats.op4_repeated_strings,
     "op5_quality_resampling": importance.op5_quality_resampling,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_counts": token_count.op7_token_counts,
