@@ -40,7 +40,7 @@ class MergeAutomaton:
     strings that are always one closing token.
     """
 
-    def __init__(self, pieces, stable, *, by_char=False, closing=False, special=(), max_states=400_000):
+    def __init__(self, pieces, stable, *, by_char=False, closing=False, special=(), max_states=260_000):
         self._stable, self.by_char, self.closing, self.max_states = stable, by_char, closing, max_states
         self._child: dict[int, int] = {}
         self._open, self._close, self._special = [-1], [-1], {}

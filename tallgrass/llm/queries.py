@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bayes_join, exact_dedup, importance, packing, quality, repeats, sanitise, token_count
+from . import bayes_join, exact_dedup, importance, licences, packing, piecevocab, quality, repeats, sanitise, token_count
 
 QUERIES = {
+    "op1_licence_scan": licences.op1_licence_scan,
     "op2_ngram_join": bayes_join.op2_ngram_join,
+    "op3_sentencepiece": piecevocab.op3_sentencepiece,
     "op4_repeated_strings": repeats.op4_repeated_strings,
     "op5_quality_resampling": importance.op5_quality_resampling,
     "op6_best_fit_packing": packing.op6_best_fit_packing,

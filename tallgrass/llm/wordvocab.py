@@ -41,7 +41,7 @@ def _classes() -> np.ndarray:
 
 
 class WordVocabulary:
-    def __init__(self, path: str, max_states: int = 400_000):
+    def __init__(self, path: str, max_states: int = 260_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
