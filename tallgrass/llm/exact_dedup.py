@@ -39,6 +39,8 @@ def first_seen(log: DataFrame, log_path: str, files_per_batch: int = FILES_PER_B
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # state stays in the shared folder alone between batches: executors' disks hold one store for each running task
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     out, checkpoint = staging_path(spark, "digest-state"), staging_path(spark, "digest-checkpoint")
     arriving = session.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)
     state = arriving.groupBy("digest").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
