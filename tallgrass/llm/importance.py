@@ -2,9 +2,11 @@
 
 Two hashed n-gram models, p of the target text and q of the raw text, are
 multinomials over BUCKETS hash buckets of words and word pairs.  A document's log
-importance weight is the sum of log p - log q over its n-grams.  The k documents
-with the largest weight plus Gumbel noise stay, which draws k documents without
-replacement in proportion to their importance.
+importance weight is the sum of log p - log q over its n-grams, each model without
+the document's own counts: else a document of the target would speak for itself, and
+any other one against itself.  The k documents with the largest weight plus Gumbel
+noise stay, which draws k documents without replacement in proportion to their
+importance.
 
 q is counted over all documents.  p is counted over the documents that labels call
 good, of at most FIT_ROWS labelled rows, those with the smallest hash of their
@@ -64,19 +66,42 @@ def order_key(score: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    log_ratio: np.ndarray
+    """Counts of the buckets in target and raw texts, and the target's documents."""
+
+    target: np.ndarray
+    raw: np.ndarray
+    good: np.ndarray
     split: float | None = None
     least_key: int = -(2**63)
 
-    def weights(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts))
+    @property
+    def fitted(self) -> bool:
+        return len(self.good) > 0
+
+    def weights(self, ids: np.ndarray, texts: pa.Array) -> np.ndarray:
+        out, own_target = np.zeros(len(texts)), np.isin(ids, self.good)
+        if not self.fitted:
+            return out
+        n_target, n_raw = self.target.sum(), self.raw.sum()
         for first, last, bucket, text in features(texts):
-            out[first:last] = np.bincount(text, self.log_ratio[bucket], minlength=last - first)
+            code, count = np.unique(text * BUCKETS + bucket, return_counts=True)
+            text, bucket = code // BUCKETS, code % BUCKETS
+            size = np.bincount(text, count, minlength=last - first)
+            mine = own_target[first:last]
+            # one more of each bucket in q; p leans on q with the weight of one of each
+            q = (self.raw[bucket] - count + 1) / (n_raw - size + BUCKETS)[text]
+            p = (self.target[bucket] - count * mine[text] + BUCKETS * q) / (n_target - size * mine + BUCKETS)[text]
+            out[first:last] = np.bincount(text, count * np.log(p / q), minlength=last - first)
         return out
 
     def scores(self, ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        weight = self.weights(texts)
-        return weight, weight + gumbel(ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False))
+        number = identifiers(ids)
+        weight = self.weights(number, texts)
+        return weight, weight + gumbel(number)
+
+
+def identifiers(ids: pa.Array) -> np.ndarray:
+    return ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
 def labelled(labels: DataFrame, rows: int = FIT_ROWS) -> dict[int, int]:
@@ -93,7 +118,7 @@ def fit(docs: DataFrame, known: dict[int, int]) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            own = np.isin(batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False), good)
+            own = np.isin(identifiers(batch.column(0)), good)
             for first, last, bucket, text in features(batch.column(1)):
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[own[first:last][text]], minlength=BUCKETS)
@@ -101,12 +126,12 @@ def fit(docs: DataFrame, known: dict[int, int]) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
     counted = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    counts = np.ones((2, BUCKETS))  # one of each bucket besides what was seen
+    counts = np.zeros((2, BUCKETS))
     for r in counted:
-        counts[:, r["bucket"]] += r["target"], r["raw"]
-    if not len(good) or len(good) == len(known):
-        return Model(np.zeros(BUCKETS))
-    return Model(np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum()))
+        counts[:, r["bucket"]] = r["target"], r["raw"]
+    if len(good) == len(known):
+        good = good[:0]
+    return Model(counts[0], counts[1], good)
 
 
 def best_split(cells: dict[tuple[int, int], int]) -> int | None:
@@ -160,7 +185,7 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
     cell = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor("log_weight"))).cast("int")
     cells = {(r["cell"], r["quality"]): r["n"] for r in scores.where("quality IS NOT NULL").groupBy(cell.alias("cell"), "quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     model.split = best_split(cells)
-    if model.split is not None:
+    if model.fitted and model.split is not None:
         k = scores.where((F.col("log_weight") >= model.split) if model.split > -CELLS else F.lit(True)).count()
         if k:
             model.least_key = kth_largest(scores, k)
