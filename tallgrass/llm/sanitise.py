@@ -120,14 +120,14 @@ def context_terms(spans: DataFrame) -> DataFrame:
     return each.select("at", "entity", F.lower("word").alias("term"), start.alias("start"), (start + F.length("word")).alias("end"))
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: DataFrame) -> DataFrame:
+def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term): the terms that disclose a protected value."""
     together = terms.select("at", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= MIN_TOGETHER)
     of_entity = spans.select("at", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("term"))
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    joined = together.join(of_entity, "entity").join(of_term, "term").crossJoin(F.broadcast(n_docs))  # n_docs: one row
-    return joined.where(F.col("n_ct") * F.pow(F.col("n") / F.col("n_c"), F.lit(1 - DISCLOSURE)) >= F.col("n_t")).select("entity", "term")
+    joined = together.join(of_entity, "entity").join(of_term, "term")
+    return joined.where(F.col("n_ct") * F.pow(F.lit(n_docs) / F.col("n_c"), F.lit(1 - DISCLOSURE)) >= F.col("n_t")).select("entity", "term")
 
 
 def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,7 +135,7 @@ def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = found(docs)
     spans = staged(base_spans(hits), "spans")
     terms = context_terms(spans)
-    risky = staged(disclosing(docs, spans, terms, hits.agg(F.count(F.lit(1)).alias("n"))), "disclosing")
+    risky = staged(disclosing(docs, spans, terms, hits.count()), "disclosing")
     revealing = terms.join(risky, ["entity", "term"]).select("at", F.lit("term").alias("kind"), "start", "end").distinct()
     return hits, spans.select("at", "kind", "start", "end").unionByName(revealing)
 
