@@ -102,7 +102,8 @@ add("skip_only", "customer", lambda q: q.order_by("c_acctbal").skip(100).select(
 def _statistics(q: Query) -> DataFrame:
     page, _ = q.where(f.o_totalprice > 100_000).order_by("o_totalprice").skip(5).take(10).select_with_statistics("o_orderkey")
     total = q.where(f.o_totalprice > 100_000).matches().agg(F.count(F.lit(1)).alias("total"))
-    return total.crossJoin(page.agg(F.count(F.lit(1)).alias("returned")))  # one row each
+    both = total.unionByName(page.agg(F.count(F.lit(1)).alias("returned")), allowMissingColumns=True)
+    return both.agg(F.max("total").alias("total"), F.max("returned").alias("returned"))
 
 
 add("stat_total", "orders", _statistics, "SELECT (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS total, (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_totalprice > 100000 LIMIT 10 OFFSET 5)) AS returned")
