@@ -106,7 +106,7 @@ def ranges(marks: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Staged: doc_id, at, digest, n_bytes and anchors (hash, window, position)."""
+    """Staged: doc_id, at, digest, n_bytes and anchors (hash, window, position, extent)."""
     rows = sources(docs, "doc_id").select("doc_id", F.monotonically_increasing_id().alias("at"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +114,10 @@ def digests(docs: DataFrame) -> DataFrame:
             digest, size, found = [], [], []
             for text in batch.column(2).cast(pa.large_binary()):
                 raw = text.as_py()
-                at, value, window = anchors(np.frombuffer(raw, np.uint8))
+                at, value, window, first, last = anchors(np.frombuffer(raw, np.uint8))
                 digest.append(hashlib.sha256(raw).digest())
                 size.append(len(raw))
-                found.append(np.stack([value, window, at], 1).ravel())
+                found.append(np.stack([value, window, at, (at - first) * (1 << 32) + last - at], 1).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "at", "digest", "n_bytes", "anchors"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -147,15 +147,15 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Staged: at, from, to: bytes of texts (one of each) that are covered by repetitions."""
-    one = found.where(f"n_bytes >= {LENGTH}").groupBy("digest").agg(F.min("at").alias("at"))
-    anchored = found.join(one.select("at"), "at", "left_semi").select("at", "doc_id", "digest", F.explode(F.expr("transform(sequence(0, size(anchors) div 3 - 1), i -> struct(anchors[3 * i] AS gram, anchors[3 * i + 1] AS window, anchors[3 * i + 2] AS pos))")).alias("a"))
+    one = found.where("size(anchors) > 0").groupBy("digest").agg(F.min("at").alias("at"))
+    anchored = found.join(one.select("at"), "at", "left_semi").select("at", "doc_id", "digest", F.explode(F.expr("transform(sequence(0, size(anchors) div 4 - 1), i -> struct(anchors[4 * i] AS gram, anchors[4 * i + 1] AS window, anchors[4 * i + 2] AS pos, anchors[4 * i + 3] div 4294967296 AS before, anchors[4 * i + 3] % 4294967296 AS after))")).alias("a"))
     rows = staged(anchored.select("at", "doc_id", "digest", "a.*"), "anchor-rows")
-    windows = rows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "doc_id", "digest", "pos")).alias("first"))
+    windows = rows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "doc_id", "digest", "pos", "before", "after")).alias("first"))
     windows = staged(windows, "windows")
     groups = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("n_windows")).where("n_windows > 1")
     # windows that occur once and meet others, and one of each that occur more often
     n_blocks = F.ceil(F.col("n_windows") / BLOCK).cast("int")
-    wanted = windows.join(groups, "gram").select("first.doc_id", "first.digest", F.struct("gram", "window", F.col("first.pos").alias("pos"), (F.col("n") > 1).alias("known"), n_blocks.alias("n_blocks"), F.pmod(F.col("window"), n_blocks).cast("int").alias("block")).alias("w"))
+    wanted = windows.join(groups, "gram").select("first.doc_id", "first.digest", F.struct("gram", "window", F.col("first.pos").alias("pos"), F.col("first.before").alias("before"), F.col("first.after").alias("after"), (F.col("n") > 1).alias("known"), n_blocks.alias("n_blocks"), F.pmod(F.col("window"), n_blocks).cast("int").alias("block")).alias("w"))
     by_text = wanted.groupBy("doc_id", "digest").agg(F.collect_list("w").alias("wanted"))
     texts = with_texts(by_text, docs).select("wanted", "packed")
 
@@ -166,8 +166,8 @@ def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
             for wanted, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, out = codec.decompress(packed), []
                 for w in wanted:
-                    left = raw[max(0, w["pos"] - SIDE) : w["pos"]]
-                    right = raw[w["pos"] + GRAM : w["pos"] + LENGTH]
+                    left = raw[w["pos"] - w["before"] : w["pos"]]
+                    right = raw[w["pos"] + GRAM : w["pos"] + w["after"]]
                     for other in range(w["n_blocks"]):
                         out.append((w["gram"], min(w["block"], other), max(w["block"], other), w["window"], w["known"], left, right))
                     if len(out) >= 2000:
@@ -179,9 +179,9 @@ def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     dealt = texts.mapInArrow(cut, "gram long, a int, b int, window long, known boolean, left binary, right binary").repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b")
     indexed = dealt.mapInArrow(index, "gram long, window long, first int, last int")
     whole = windows.where("n > 1").select("gram", "window", F.lit(0).alias("first"), F.lit(SIDE).alias("last"))
-    marks = rows.select("gram", "window", "at", "pos").join(staged(indexed.unionByName(whole), "marks"), ["gram", "window"])
-    # starts in front of the text or too close to its end belong to windows that are cut off there
-    return marks.select("at", F.greatest(F.col("pos") - SIDE + F.col("first"), F.lit(0)).alias("from"), (F.col("pos") - SIDE + F.col("last") + LENGTH).alias("to"))
+    marks = rows.select("gram", "window", "at", "pos", "before", "after").join(staged(indexed.unionByName(whole), "marks"), ["gram", "window"])
+    # a window that occurs again counts from end to end
+    return marks.select("at", (F.col("pos") - F.least(F.col("before"), SIDE - F.col("first"))).alias("from"), (F.col("pos") + F.least(F.col("after"), GRAM + F.col("last"))).alias("to"))
 
 
 WINDOW = pa.schema([("gram", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("window", pa.int64()), ("known", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
