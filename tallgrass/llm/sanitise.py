@@ -12,6 +12,13 @@ together in MIN_TOGETHER documents.  Such terms are spans of kind ``term``; in
 ``sanitised`` texts base spans are generalised to their kind and terms removed.
 n(c,t) counts documents in which t is a word of four letters or more within
 ``CONTEXT`` characters of c, so the work is linear in the number of values found.
+This is what ``find`` and its SQL report.
+
+Values are nearly unique, so few are ever seen in MIN_TOGETHER documents.
+``sanitised`` (the pipeline's stage, which no SQL describes) therefore asks for no
+count of support: it takes P(c|t) = (n(c,t) + PRIOR P(c)) / (n(t) + PRIOR) for the
+plain n(c,t) / n(t) in PMI.  Rare pairs are drawn towards independence but none is
+ruled out.  A value of all documents has no IC to disclose.
 
 Only DataFrame functions are used.  One pass stages each row's matches with the
 lengths of the text between them and a bounded context, never the text;
@@ -43,6 +50,8 @@ TERM = r"\p{L}{4,}"
 CONTEXT = 64
 DISCLOSURE = 0.9
 MIN_TOGETHER = 3
+#: The weight of P(c) in P(c|t), in documents (Jeffreys' for a yes or no).
+PRIOR = 0.5
 
 
 def _digits(value: Column) -> Column:
@@ -120,22 +129,26 @@ def context_terms(spans: DataFrame) -> DataFrame:
     return each.select("at", "entity", F.lower("word").alias("term"), start.alias("start"), (start + F.length("word")).alias("end"))
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int, smoothed: bool = False) -> DataFrame:
     """(entity, term): the terms that disclose a protected value."""
-    together = terms.select("at", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= MIN_TOGETHER)
+    together = terms.select("at", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
     of_entity = spans.select("at", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("term"))
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    joined = together.join(of_entity, "entity").join(of_term, "term")
-    return joined.where(F.col("n_ct") * F.pow(F.lit(n_docs) / F.col("n_c"), F.lit(1 - DISCLOSURE)) >= F.col("n_t")).select("entity", "term")
+    if not smoothed:
+        joined = together.where(F.col("n_ct") >= MIN_TOGETHER).join(of_entity, "entity").join(of_term, "term")
+        return joined.where(F.col("n_ct") * F.pow(F.lit(n_docs) / F.col("n_c"), F.lit(1 - DISCLOSURE)) >= F.col("n_t")).select("entity", "term")
+    p_c = F.col("n_c") / F.lit(n_docs)
+    joined = together.join(of_entity.where(F.col("n_c") < n_docs), "entity").join(of_term, "term")
+    return joined.where(F.col("n_ct") + PRIOR * p_c >= (F.col("n_t") + PRIOR) * F.pow(p_c, F.lit(1 - DISCLOSURE))).select("entity", "term")
 
 
-def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def all_spans(docs: DataFrame, smoothed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The staged matches, and (at, kind, start, end) of base and term spans."""
     hits = found(docs)
     spans = staged(base_spans(hits), "spans")
     terms = context_terms(spans)
-    risky = staged(disclosing(docs, spans, terms, hits.count()), "disclosing")
+    risky = staged(disclosing(docs, spans, terms, hits.count(), smoothed), "disclosing")
     revealing = terms.join(risky, ["entity", "term"]).select("at", F.lit("term").alias("kind"), "start", "end").distinct()
     return hits, spans.select("at", "kind", "start", "end").unionByName(revealing)
 
@@ -164,7 +177,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named after the first.
     """
     names = docs.columns
-    hits, spans = all_spans(docs)
+    hits, spans = all_spans(docs, smoothed=True)
     ordered = Window.partitionBy("at").orderBy("start", "end", "kind")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("run", F.sum(F.when(F.coalesce(reach, F.lit(-1)) <= F.col("start"), 1).otherwise(0)).over(ordered))

@@ -141,6 +141,17 @@ def test_personal_data(table, rows, spark):
     assert sanitised(table([(1, "q@q.com"), (1, "q@q.com"), (None, "q@q.com")])).count() == 3
 
 
+def test_a_rare_value_is_disclosed_without_support(table, words):
+    """No value and no pair is seen twice; a common term beside a value stays."""
+    plain = [(k, "please write " + " ".join(words(20, k))) for k in range(1, 80)]
+    docs = table([*plain, (200, "please write Zebulon q@q.com"), (201, "please write to r@r.com")])
+    clean = {r["doc_id"]: r["text"] for r in sanitised(docs).collect()}
+    assert clean[200] == "please write  <EMAIL>" and clean[201] == "please write to <EMAIL>"
+    assert all(clean[i] == t for i, t in plain)
+    everywhere = table([(k, f"word{'abcd'[k]} letters q@q.com") for k in range(4)])
+    assert all(r["text"].endswith(" letters <EMAIL>") for r in sanitised(everywhere).collect())
+
+
 def test_pipeline_keeps_clean_documents(table, spark, words, tmp_path):
     clean = [(k, " ".join(words(90, k))) for k in range(40)]
     bad = [(100 + k, " ".join(f"{w}%%%" for w in words(80, 500 + k))) for k in range(12)]
