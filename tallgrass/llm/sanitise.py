@@ -18,11 +18,13 @@ Values are nearly unique, so few are ever seen in MIN_TOGETHER documents.
 ``sanitised`` (the pipeline's stage, which no SQL describes) therefore asks for no
 count of support: it takes P(c|t) = (n(c,t) + PRIOR P(c)) / (n(t) + PRIOR) for the
 plain n(c,t) / n(t) in PMI.  Rare pairs are drawn towards independence but none is
-ruled out.  A value of all documents has no IC to disclose.
+ruled out.  A value of all documents has no IC to disclose.  There n(c,t) counts all
+documents that hold both, however far apart, and every occurrence of a term that
+discloses a value is removed from the documents that hold the value.
 
 Only DataFrame functions are used.  One pass stages each row's matches with the
-lengths of the text between them and a bounded context, never the text;
-positions are running sums over these.
+lengths of the text between them and a bounded context, for ``sanitised`` also the
+words of rows with matches; positions are running sums over these.
 
 Rows: null text counts as empty and has no spans; repeated rows are each
 reported and each count in the frequencies; an empty table gives an empty
@@ -75,12 +77,13 @@ def _valid(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lit(True)).when(kind == "ip", octets).when(kind == "card", card).otherwise(n.between(9, 15))
 
 
-def found(docs: DataFrame) -> DataFrame:
+def found(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Staged: a row for each document with its unchecked matches.
 
     (at, doc_id, digest, hits); a hit has its kind, number within the kind, the
     length of the text since the previous one of its kind, its value, and what
-    stands before and after it.
+    stands before and after it.  With ``whole`` also words: each word of a row with
+    matches, and the length of the text since the previous one; else null.
     """
     importable(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
@@ -104,7 +107,11 @@ def found(docs: DataFrame) -> DataFrame:
             F.array().cast("array<struct<kind:string,nth:int,gap:int,value:string,before:string,after:string>>"),
         )
 
-    all_hits = split.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.concat(*(hits(k) for k in KINDS)).alias("hits"))
+    all_hits = split.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.concat(*(hits(k) for k in KINDS)).alias("hits"), *(["text"] if whole else []))
+    if whole:
+        # two steps, so that only rows with matches are cut into words
+        word = F.arrays_zip(F.transform(F.split("text", TERM, -1), F.length).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"))
+        all_hits = all_hits.withColumn("words", F.when(F.size("hits") > 0, word)).drop("text")
     return staged(all_hits, "hits")
 
 
@@ -129,11 +136,23 @@ def context_terms(spans: DataFrame) -> DataFrame:
     return each.select("at", "entity", F.lower("word").alias("term"), start.alias("start"), (start + F.length("word")).alias("end"))
 
 
+def whole_terms(hits: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(at, entity, term) of all words in the documents that hold a value, and the words' places (at, term, start, end)."""
+    held = hits.join(spans.select("at").distinct(), "at", "left_semi")
+    distinct = held.select("at", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["word"])))).alias("term")).where("term IS NOT NULL")
+    each = held.select("at", F.posexplode("words").alias("i", "w")).select("at", "i", "w.*").where("word IS NOT NULL")
+    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("at").orderBy("i"))
+    places = each.select("at", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
+    return spans.select("at", "entity").distinct().join(distinct, "at"), places
+
+
 def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int, smoothed: bool = False) -> DataFrame:
     """(entity, term): the terms that disclose a protected value."""
-    together = terms.select("at", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
+    seen = terms if smoothed else terms.select("at", "entity", "term").distinct()
+    together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
     of_entity = spans.select("at", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("term"))
+    all_words = F.transform(F.regexp_extract_all(text_of(), F.lit(TERM), F.lit(0)), F.lower) if smoothed else F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0))
+    words = docs.select(F.explode(F.array_distinct(all_words)).alias("term"))
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     if not smoothed:
         joined = together.where(F.col("n_ct") >= MIN_TOGETHER).join(of_entity, "entity").join(of_term, "term")
@@ -145,11 +164,17 @@ def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int,
 
 def all_spans(docs: DataFrame, smoothed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The staged matches, and (at, kind, start, end) of base and term spans."""
-    hits = found(docs)
+    hits = found(docs, whole=smoothed)
     spans = staged(base_spans(hits), "spans")
-    terms = context_terms(spans)
-    risky = staged(disclosing(docs, spans, terms, hits.count(), smoothed), "disclosing")
-    revealing = terms.join(risky, ["entity", "term"]).select("at", F.lit("term").alias("kind"), "start", "end").distinct()
+    if smoothed:
+        terms, places = whole_terms(hits, spans)
+        risky = staged(disclosing(docs, spans, terms, hits.count(), smoothed), "disclosing")
+        here = terms.join(risky, ["entity", "term"]).select("at", "term").distinct()
+        revealing = places.join(here, ["at", "term"]).select("at", F.lit("term").alias("kind"), "start", "end")
+    else:
+        terms = context_terms(spans)
+        risky = staged(disclosing(docs, spans, terms, hits.count()), "disclosing")
+        revealing = terms.join(risky, ["entity", "term"]).select("at", F.lit("term").alias("kind"), "start", "end").distinct()
     return hits, spans.select("at", "kind", "start", "end").unionByName(revealing)
 
 
@@ -174,14 +199,14 @@ def find(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with base spans as <KIND>, disclosing terms removed, n_chars set anew.
 
-    Overlapping spans become one, named after the first.
+    Overlapping spans become one, named after the first base span.
     """
     names = docs.columns
     hits, spans = all_spans(docs, smoothed=True)
     ordered = Window.partitionBy("at").orderBy("start", "end", "kind")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("run", F.sum(F.when(F.coalesce(reach, F.lit(-1)) <= F.col("start"), 1).otherwise(0)).over(ordered))
-    merged = runs.groupBy("at", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    merged = runs.groupBy("at", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct(F.col("kind") == "term", "start", "end", "kind")).alias("kind"))
     cuts = merged.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
     of_text = hits.select("at", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).join(cuts, "at").dropDuplicates(["__id", "__digest"]).drop("at")
     marked = docs.withColumn("__now", F.md5(text_of().cast("binary")))

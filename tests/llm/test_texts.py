@@ -152,6 +152,16 @@ def test_a_rare_value_is_disclosed_without_support(table, words):
     assert all(r["text"].endswith(" letters <EMAIL>") for r in sanitised(everywhere).collect())
 
 
+def test_disclosing_terms_anywhere_in_the_document(table, words):
+    """A name far from the value, with years between, and all its occurrences."""
+    plain = [(k, "please write " + " ".join(words(20, k))) for k in range(1, 80)]
+    far = "Zebulon lives here.\n" + "please write in 2019 or 2020 " * 10 + "\n{} 1985 please ZEBULON"
+    docs = table([*plain, (200, far.format("zebulon@q.com")), (201, "lives here please write"), (202, "lives here"), (203, "lives here")])
+    clean = {r["doc_id"]: r["text"] for r in sanitised(docs).collect()}
+    assert clean[200] == " lives here.\n" + "please write in 2019 or 2020 " * 10 + "\n<EMAIL> 1985 please "
+    assert all(clean[i] == t for i, t in plain) and clean[201] == "lives here please write"
+
+
 def test_pipeline_keeps_clean_documents(table, spark, words, tmp_path):
     clean = [(k, " ".join(words(90, k))) for k in range(40)]
     bad = [(100 + k, " ".join(f"{w}%%%" for w in words(80, 500 + k))) for k in range(12)]
