@@ -2,8 +2,9 @@
 
 1. A text is cut into units at line ends and at sentence ends.  Units are normalised
    (lower case, runs of letters and digits).
-2. One to SPAN units in a row that together are a known sentence become its
-   identifier, the longest first, so that sentences broken over lines are found.  A
+2. Units in a row that together are a known sentence become its identifier, the
+   longest first: a trie of words is followed over as many units as it takes, so
+   that sentences broken over any number of lines are found.  A
    unit that speaks of licences but is no known sentence becomes UNKNOWN.  Others
    are left out and part what is before from what is after.
 3. The sequence of identifiers is matched against ordered rules: the first rule that
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, sources
 
-SPAN = 6
 UNKNOWN = "UNKNOWN"
 
 #: Names of licences as short forms write them, and their identifiers.
@@ -115,27 +115,52 @@ def _known() -> dict[str, str]:
 
 
 KNOWN = _known()
-_STARTS = {" ".join(s.split()[:2]) for s in KNOWN}
+_END = ""
+
+
+def _trie() -> dict:
+    """Words lead on; _END leads to the identifier."""
+    root: dict = {}
+    for sentence, name in KNOWN.items():
+        node = root
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[_END] = name
+    return root
+
+
+_TRIE = _trie()
 
 
 def normalise(unit: str) -> str:
     return " ".join(_WORD.findall(unit.lower()))
 
 
+def _longest(units: list[list[str]], at: int) -> tuple[str | None, int]:
+    """The longest known sentence that starts with this unit and ends with one, and the unit after it."""
+    found, after = None, at
+    node: dict | None = _TRIE
+    for i in range(at, len(units)):
+        for word in units[i]:
+            node = node.get(word)
+            if node is None:
+                return found, after
+        if _END in node:
+            found, after = node[_END], i + 1
+    return found, after
+
+
 def identifiers(text: str) -> list[str | None]:
     """Known, UNKNOWN or (for a stretch of other units) None."""
     units = [n for n in map(normalise, _UNIT.split(text)) if n]
+    words = [n.split() for n in units]
     out: list[str | None] = []
     at = 0
     while at < len(units):
-        found = None
-        if " ".join(units[at].split()[:2]) in _STARTS or len(units[at].split()) < 2:
-            for n in range(min(SPAN, len(units) - at), 0, -1):
-                found = KNOWN.get(" ".join(units[at : at + n]))
-                if found:
-                    at += n
-                    break
-        if not found:
+        found, after = _longest(words, at)
+        if found:
+            at = after
+        else:
             found = UNKNOWN if any(h in units[at] for h in HINTS) else None
             at += 1
         if found is not None or not out or out[-1] is not None:

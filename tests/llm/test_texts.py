@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import corpus_pipeline
 from tallgrass.llm import importance, quality, queries, sanitise
 from tallgrass.llm.importance import kth_largest, order_key, resample, select_quality
-from tallgrass.llm.licences import HINTS, KNOWN, identifiers, match_rules, normalise, scan
+from tallgrass.llm.licences import HINTS, KNOWN, SENTENCES, identifiers, match_rules, normalise, scan
 from tallgrass.llm.quality import judge
 from tallgrass.llm.sanitise import find, sanitised
 
@@ -35,6 +36,14 @@ def test_licences(table, rows):
     assert match_rules(identifiers(MIT.split("\n\n")[1])) == ([], 1)
 
 
+def test_licence_sentences_at_any_width():
+    for width in (16, 24, 40, 60, 66, 72, 200):
+        for name, sentence in SENTENCES.items():
+            got = identifiers("\n".join(f" * {x}" for x in textwrap.wrap(sentence, width)))
+            assert got == [name], (width, name)
+        assert match_rules(identifiers("\n".join(textwrap.wrap(MIT.replace("\n", " "), width)))) == (["MIT"], 0)
+
+
 def test_licences_by_brute_force(spark):
     text = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for t in text:
