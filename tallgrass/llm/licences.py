@@ -4,7 +4,8 @@
    (lower case, runs of letters and digits).
 2. Units in a row that together are a known sentence become its identifier, the
    longest first: a trie of words is followed over as many units as it takes, so
-   that sentences broken over any number of lines are found.  A
+   that sentences broken over any number of lines are found.  List markers (a number
+   or letter of its own) before a sentence are left out.  A
    unit that speaks of licences but is no known sentence becomes UNKNOWN.  Others
    are left out and part what is before from what is after.
 3. The sequence of identifiers is matched against ordered rules: the first rule that
@@ -100,6 +101,10 @@ RULES = [
 HINTS = ["licen", "copyright", "redistribut", "permission", "warrant", "public domain", "free software", "released under", "distributed under", "available under", "published under", "liable"]
 _UNIT = re.compile(r"[\n\r]+|[.;:!?]+(?=\s|$)")
 _WORD = re.compile(r"[^\W_]+")
+_NUMBER = r"(?:[0-9]{1,3}|[a-z]|[ivx]+)"
+#: A list marker that is a unit, and one in the unit of its sentence.
+_MARKER = re.compile(_NUMBER)
+_MARKED = re.compile(rf"[\W_]*{_NUMBER}[.:)\]]+(?![0-9])", re.IGNORECASE)
 
 
 def _known() -> dict[str, str]:
@@ -136,12 +141,12 @@ def normalise(unit: str) -> str:
     return " ".join(_WORD.findall(unit.lower()))
 
 
-def _longest(units: list[list[str]], at: int) -> tuple[str | None, int]:
-    """The longest known sentence that starts with this unit and ends with one, and the unit after it."""
+def _longest(units: list[list[str]], at: int, skip: int = 0) -> tuple[str | None, int]:
+    """The longest known sentence that starts with this unit (after ``skip`` words) and ends with one, and the unit after it."""
     found, after = None, at
     node: dict | None = _TRIE
     for i in range(at, len(units)):
-        for word in units[i]:
+        for word in units[i][skip:] if i == at else units[i]:
             node = node.get(word)
             if node is None:
                 return found, after
@@ -152,12 +157,18 @@ def _longest(units: list[list[str]], at: int) -> tuple[str | None, int]:
 
 def identifiers(text: str) -> list[str | None]:
     """Known, UNKNOWN or (for a stretch of other units) None."""
-    units = [n for n in map(normalise, _UNIT.split(text)) if n]
+    raw = [(u, n) for u in _UNIT.split(text) for n in [normalise(u)] if n]
+    units = [n for _, n in raw]
     words = [n.split() for n in units]
     out: list[str | None] = []
     at = 0
     while at < len(units):
         found, after = _longest(words, at)
+        if not found and _MARKER.fullmatch(units[at]):
+            at += 1
+            continue
+        if not found and (mark := _MARKED.match(raw[at][0])):
+            found, after = _longest(words, at, len(_WORD.findall(mark[0])))
         if found:
             at = after
         else:

@@ -44,6 +44,17 @@ def test_licence_sentences_at_any_width():
         assert match_rules(identifiers("\n".join(textwrap.wrap(MIT.replace("\n", " "), width)))) == (["MIT"], 0)
 
 
+def test_numbered_licence_texts():
+    heads = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]
+    for marks in (["1. ", "2. ", "3. "], ["1) ", "2) ", "3) "], ["(a) ", "(b) ", "(c) "], ["a. ", "b. ", "c. "], ["i. ", "ii. ", "iii. "], ["* ", "* ", "* "], ["", "", ""]):
+        lines = [m + SENTENCES[h] + end for m, h, end in zip(["", *marks], heads, [":", ".", ".", "."])]
+        for n, want in ((4, "BSD-3-Clause"), (3, "BSD-2-Clause")):
+            text = "Copyright (c) 2020, A. Person\n\n" + "\n".join(textwrap.fill(x, 70) for x in lines[:n])
+            assert match_rules(identifiers(text)) == ([want], 0), marks
+    assert match_rules(identifiers("Released under the GPL version\n2.\n")) == (["GPL-2.0"], 0)
+    assert identifiers("Released under the MIT License.\nother words\n2.\nReleased under the ISC License.") == ["short-MIT", None, "short-ISC"]
+
+
 def test_licences_by_brute_force(spark):
     text = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for t in text:
