@@ -99,6 +99,10 @@ RULES = [
 
 #: A known sentence and an unknown one of interest hold one of these.
 HINTS = ["licen", "copyright", "redistribut", "permission", "warrant", "public domain", "free software", "released under", "distributed under", "available under", "published under", "liable"]
+_ONE_WORD = [h for h in HINTS if " " not in h]
+_FIRST = list(dict.fromkeys(h.split()[0] for h in HINTS if " " in h))
+#: Hints of several words with anything between them that normalising takes away.
+_APART = re.compile("|".join(h.replace(" ", r"[\W_]+") for h in HINTS if " " in h))
 _UNIT = re.compile(r"[\n\r]+|[.;:!?]+(?=\s|$)")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = r"(?:[0-9]{1,3}|[a-z]|[ivx]+)"
@@ -141,6 +145,12 @@ def normalise(unit: str) -> str:
     return " ".join(_WORD.findall(unit.lower()))
 
 
+def hinted(text: str) -> bool:
+    """Whether the normalised text holds a hint."""
+    lower = text.lower()
+    return any(h in lower for h in _ONE_WORD) or (any(h in lower for h in _FIRST) and _APART.search(lower) is not None)
+
+
 def _longest(units: list[list[str]], at: int, skip: int = 0) -> tuple[str | None, int]:
     """The longest known sentence that starts with this unit (after ``skip`` words) and ends with one, and the unit after it."""
     found, after = None, at
@@ -201,8 +211,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                lower = text.lower()
-                sequence = identifiers(text) if any(h in lower for h in HINTS) else []
+                sequence = identifiers(text) if hinted(text) else []
                 found, unmatched = match_rules(sequence)
                 named = [s for s in sequence if s is not None and s != UNKNOWN]
                 out.append((",".join(found), ",".join(named), unmatched, sequence.count(UNKNOWN)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import corpus_pipeline
 from tallgrass.llm import importance, quality, queries, sanitise
 from tallgrass.llm.importance import kth_largest, order_key, resample, select_quality
-from tallgrass.llm.licences import HINTS, KNOWN, SENTENCES, identifiers, match_rules, normalise, scan
+from tallgrass.llm.licences import HINTS, KNOWN, SENTENCES, hinted, identifiers, match_rules, normalise, scan
 from tallgrass.llm.quality import judge
 from tallgrass.llm.sanitise import find, sanitised
 
@@ -55,6 +55,15 @@ def test_numbered_licence_texts():
     assert identifiers("Released under the MIT License.\nother words\n2.\nReleased under the ISC License.") == ["short-MIT", None, "short-ISC"]
 
 
+def test_hints_broken_by_white_space(table):
+    cases = {1: ("This program is released\nunder GPLv3", "GPL-3.0"), 2: ("This is free and unencumbered software released into the public\ndomain.", "Unlicense"), 3: ("released  under GPLv3", "GPL-3.0"), 4: ("Distributed\u00a0under CC BY 4.0", "CC-BY-4.0"), 5: ("nothing under way", "")}
+    got = {r["doc_id"]: r["licences"] for r in scan(table([(i, t) for i, (t, _) in cases.items()])).collect()}
+    assert got == {i: w for i, (_, w) in cases.items()}
+    for sentence in KNOWN:
+        for apart in ("\n", "  ", "\u00a0", "\n// ", "_"):
+            assert hinted(sentence.replace(" ", apart))
+
+
 def test_licences_by_brute_force(spark):
     text = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for t in text:
