@@ -15,9 +15,9 @@ text is its number of tokens.  States and transitions are made when first met;
 ``max_states`` bounds them (the table is dropped and built anew beyond it).
 
 ``run`` splits the input into chunks of equal length.  Every chunk is first
-run from the start state, all chunks in step.  The chunks' state maps are then
-composed from left to right: a chunk whose entry state differs is run again
-only until both runs meet, which is the point from which its map is constant.
+run from the start state, all chunks in step.  A chunk whose entry state differs is
+then run again, in rounds, only until both runs meet.  This stands in place of a
+prefix scan over the chunks' state maps, which are not built.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ class MergeAutomaton:
         for t in range(chunk):
             at, made[t] = self._advance(at, symbols[t])
             states[t] = at
-        # compose the chunks' maps: entries that are not the start state
+        # run again the chunks whose entry is not the start state
         redo = np.flatnonzero(at[:-1]) + 1
         while len(redo):
             at, lane = states[-1, redo - 1], redo
