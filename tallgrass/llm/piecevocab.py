@@ -1,9 +1,9 @@
 """Encoding and decoding with a SentencePiece model as a transducer (operator 3).
 
-The weighted transducer composes three machines.  The normaliser turns spaces into
-the space mark and puts one in front; the pieces give an arc for each entry of the
-vocabulary; byte fallback gives arcs for the bytes of a character that is no
-piece.  In a BPE model the best segmentation is not the one with the largest sum of
+Only the pieces are compiled into the weighted transducer, an arc for each entry of
+the vocabulary.  The normaliser is a replacement of strings before it (space mark,
+one space in front; other normalisers are refused), and the bytes of a character that
+is no piece are filled in after the path is traced.  In a BPE model the best segmentation is not the one with the largest sum of
 scores but the one that the merges make, so arcs are weighted in the tropical
 semiring as :mod:`automaton` says: 0 for two pieces that stay apart when their
 concatenation is merged, infinity for others.  The shortest path is the only one of
