@@ -3,19 +3,21 @@
 Two texts are linked when the Jaccard similarity of their sets of SHINGLE-word
 runs is THRESHOLD or more.
 
-1. Every text becomes a set of hashed shingles and a MinHash signature.  Texts
-   with the same set are one class, counted and represented by its smallest
-   identifier; copies are never compared.
+1. Every row becomes a set of hashed shingles and a MinHash signature, staged with
+   the packed text.  Rows with the same set are one class, whatever their
+   identifiers, with one of them to represent it; copies are never compared.
 2. Signatures are cut into BANDS bands of ROWS values.  A pair at the threshold
-   shares no band with probability (1 - t**ROWS)**BANDS, about 1e-7.  Bands that
-   two classes or more have tie these to the smallest one there; the connected
-   components of these ties hold all candidates, and each class is in one only.
-3. Components are compared block against block, BLOCK classes a block, so that a
-   large one is spread over many tasks.  For each pair, signatures are compared
-   STEP values at a time; the pair is dropped once the posterior probability that
-   its similarity reaches the threshold, under a uniform prior, is below
-   TOLERANCE.  What is left is verified on the shingle sets themselves.
-4. Tasks return, for each class, its number of links and a forest of the links
+   shares no band with probability (1 - t**ROWS)**BANDS, about 1e-7.  Classes that
+   share a band are candidates.
+3. A class is at home in the largest of its shared bands; the classes at home in one
+   band are dealt into blocks of about BLOCK classes or WEIGHT shingles.  Two blocks
+   meet if a band is in both, once, whatever the number of such bands.  So near
+   copies meet in one block, and texts tied by a chain of bands do not all meet.
+4. In a meeting, signatures are compared STEP values at a time; a pair is dropped
+   once the posterior probability that its similarity reaches the threshold, under a
+   uniform prior, is below TOLERANCE.  What is left is verified on the shingle sets,
+   which are made once for each candidate.
+5. Meetings return, for each class, its number of links and a forest of the links
    they found, never pairs; components of the forests are the result's classes.
 
 Shingles are 64-bit hashes, so the verification is exact unless two of them
@@ -23,9 +25,11 @@ collide.  Words are runs without white space, case kept.  A text of fewer words
 than a shingle has one shingle of all its words.
 
 Rows: null, empty and blank texts have no shingles, so no links, and are a class
-of their own each; repeated rows are copies (rows with the same identifier count
-as one document each, but are one row of the verification); a null identifier
-gets no links; an empty table gives an empty result; other columns are not read.
+of their own each, with their own identifier; a row with a null identifier or with
+another row's identifier is a document of its own like any other, and a class
+of null identifiers only has a null class_id; repeated rows are copies; ties in size
+go to the larger band key; an empty table gives an empty result; other columns are
+not read.  A very long text is hashed alone, with memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -36,17 +40,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, importable, sources, staged, text_of
+from .common import documents, fresh, sources, staged
 from .components import components
 from .ngrams import ngram_hashes, slices, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP = 5, 40, 40
 TOLERANCE = 1e-6
-BLOCK = 128
+BLOCK, WEIGHT = 1024, 1 << 19
 
 _rng = np.random.default_rng(8191)
 _A = _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -118,18 +123,18 @@ def links(sets: list[np.ndarray], signs: np.ndarray, left: np.ndarray, right: np
             yield i, js
 
 
-def compared(members: list[tuple[int, int, int, str]], a: int, b: int) -> dict[int, list[int]]:
-    """Links between block a and block b of one component.
+def compared(members: list[tuple[int, int, bool, np.ndarray]], both: bool) -> dict[int, list[int]]:
+    """Links of a meeting: between its two blocks, or inside its only one.
 
-    ``members``: (class, copies, block, text).  For each class with links: number
-    of linked texts, number of their documents, smallest class it is linked to
-    here.
+    ``members``: (class, copies, whether of the first block, signature and shingles).
+    For each class with links: number of linked texts, number of their documents,
+    smallest class it is linked to here.
     """
     ids = [m[0] for m in members]
     copies = np.array([m[1] for m in members], np.int64)
-    sets = list(shingle_sets(pa.array([m[3] for m in members])))
-    signs = np.stack([signature(s) for s in sets])
-    blocks = np.array([m[2] for m in members])
+    signs = np.stack([m[3][: len(_A) // 2].view(np.uint32) for m in members])
+    sets = [m[3][len(_A) // 2 :] for m in members]
+    left = np.array([m[2] for m in members])
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -139,78 +144,129 @@ def compared(members: list[tuple[int, int, int, str]], a: int, b: int) -> dict[i
         return x
 
     texts, docs = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for i, js in links(sets, signs, np.flatnonzero(blocks == a), None if a == b else np.flatnonzero(blocks == b)):
+    for i, js in links(sets, signs, np.flatnonzero(left), np.flatnonzero(~left) if both else None):
         texts[i] += len(js)
         docs[i] += copies[js].sum()
         texts[js] += 1
         docs[js] += copies[i]
         for j in js:
             x, y = root(i), root(int(j))
-            if x != y:  # the smaller identifier is the root
+            if x != y:  # the smaller one is the root
                 x, y = (x, y) if ids[x] < ids[y] else (y, x)
                 parent[y] = x
     return {ids[k]: [int(texts[k]), int(docs[k]), ids[root(k)]] for k in np.flatnonzero(texts)}
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Staged: doc_id, set_id (digest of the shingle set, null if empty), bands."""
-    rows = sources(docs, "doc_id")
+def sketched(rows: DataFrame) -> DataFrame:
+    """Staged: at, doc_id, set_id (digest of the shingle set, null if empty), size,
+    bands and packed text of rows (at, doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            digests, bands = [], []
-            for s in shingle_sets(batch.column(1)):
+            digests, sizes, bands, packed = [], [], [], []
+            for s, raw in zip(shingle_sets(batch.column(2)), batch.column(2).cast(pa.large_binary()), strict=True):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sizes.append(len(s))
                 bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_id", "bands"])
-
-    return staged(rows.mapInArrow(sketch, "doc_id long, set_id binary, bands array<long>"), "signatures")
-
-
-def candidate_groups(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(set_id, class, copies) of all sets; (class, component) of those with candidates."""
-    sets = sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    sets = staged(sets, "sets")
-    banded = sets.select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
-    ties = banded.join(shared, "band").where(F.col("class") != F.col("first")).select(F.col("class").alias("u"), F.col("first").alias("v"))
-    return sets.select("set_id", "class", "copies"), staged(components(ties).withColumnsRenamed({"node": "class"}), "candidates")
-
+                packed.append(codec.compress(raw.as_py()))
+            columns = [pa.array(c, t) for c, t in ((digests, pa.binary()), (sizes, pa.int64()), (bands, pa.list_(pa.int64())), (packed, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["at", "doc_id", "set_id", "size", "bands", "packed"])
+
+    return staged(rows.mapInArrow(sketch, f"at long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_id binary, size long, bands array<long>, packed binary"), "signatures")
+
+
+def classes(sketches: DataFrame) -> DataFrame:
+    """Staged: class (of the rows with a set the one with the smallest identifier),
+    set_id, first_id (this identifier), copies, size, bands."""
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "size", "bands")).alias("own")
+    sets = sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(own, F.count(F.lit(1)).alias("copies"))
+    return staged(sets.select(F.col("own.at").alias("class"), "set_id", F.col("own.doc_id").alias("first_id"), "copies", "own.size", "own.bands"), "sets")
+
+
+def blocks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged: (class, copies, block) of the candidates, and (block, a, b): its meetings."""
+    banded = sets.select("class", "size", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    ties = staged(banded.select("class", "band").join(shared, "band"), "bands")
+    home = ties.groupBy("class").agg(F.max(F.struct("n", "band", "weight")).alias("home"))
+    # of the band's whole size, so that no count of those at home is needed
+    n_blocks = F.ceil(F.greatest(F.col("home.n") / BLOCK, F.col("home.weight") / WEIGHT))
+    placed = staged(home.select("class", F.xxhash64("home.band", F.pmod(F.xxhash64("class"), n_blocks)).alias("block")), "blocks")
+    inside = ties.join(placed, "class").select("band", "block").distinct()
+    several = staged(inside.groupBy("band").agg(F.collect_set("block").alias("blocks")).where("size(blocks) > 1"), "block-bands")
+    # blocks of a band, not its texts: BLOCK times fewer
+    ordered = several.select(F.array_sort("blocks").alias("blocks")).distinct()
+    meetings = ordered.select("blocks", F.posexplode("blocks").alias("i", "a")).select("a", F.explode(F.expr("slice(blocks, i + 2, size(blocks))")).alias("b")).distinct()
+    meetings = staged(meetings, "meetings")
+    alone = placed.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()
+    both = meetings.select(F.col("a").alias("block"), "a", "b").union(meetings.select(F.col("b").alias("block"), "a", "b"))
+    members = placed.join(sets.select("class", "copies"), "class")
+    return staged(members, "members"), both.union(alone.select(F.col("a").alias("block"), "a", "b"))
+
+
+def found_links(sketches: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Staged: class, n_texts, n_docs, first (smallest linked class), by meeting."""
+    packed = members.join(sketches.select(F.col("at").alias("class"), "packed"), "class").select("class", "copies", "block", "packed")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = pa.array([codec.decompress(x.as_py()).decode() for x in batch.column(3)], pa.large_string())
+            made = [np.concatenate([signature(s).view(np.uint64), s]).tobytes() for s in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(made, pa.binary())], ["class", "copies", "block", "shingles"])
 
-def found_links(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Staged: class, n_texts, n_docs, first (smallest linked class), by block pair."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = groups.join(sizes, "component").join(sets.select("class", "copies"), "class").select("class", "copies", "component", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("class"), n_blocks).cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("class"), text_of().alias("text"))
-    placed = members.join(texts, "class")
-    # each class meets every block of its component once
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    keyed = spread.select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "class", "copies", "block", "text")
-    dealt = keyed.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "class", "text")
+    shingled = staged(packed.mapInArrow(unpack, "class long, copies long, block long, shingles binary"), "shingles")
+    dealt = shingled.join(meetings, "block").select("a", "b", "class", "copies", "block", "shingles").repartition("a", "b").sortWithinPartitions("a", "b", "class")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
         def done():
-            out = compared(members, key[1], key[2]) if len(members) > 1 else {}
+            out = compared(members, key[0] != key[1]) if len(members) > 1 else {}
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*out.values(), strict=True))], ["class", "n_texts", "n_docs", "first"])
 
         for batch in batches:
-            for component, a, b, own, copies, block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (component, a, b) != key:
+            for a, b, own, copies, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, b) != key:
                     if key is not None:
                         yield from done()
-                    key, members = (component, a, b), []
-                if not members or members[-1][0] != own:  # rows with one identifier and several texts: the first
-                    members.append((own, copies, block, text))
+                    key, members = (a, b), []
+                members.append((own, copies, block == a, np.frombuffer(raw, np.uint64)))
         if key is not None:
             yield from done()
 
     return staged(dealt.mapInArrow(compare, "class long, n_texts long, n_docs long, first long"), "links")
 
 
+def linked_rows(rows: DataFrame) -> DataFrame:
+    """(at, doc_id, class_id, class_at, set_first, n_links, n_texts) of rows (at, doc_id, text).
+
+    class_at is the row with the smallest identifier of the linked group.
+    """
+    sketches = sketched(rows)
+    sets = classes(sketches)
+    linked = found_links(sketches, *blocks(sets))
+    degree = linked.groupBy("class").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
+    joined = components(linked.select(F.col("class").alias("u"), F.col("first").alias("v"))).withColumnsRenamed({"node": "class"})
+    groups = staged(joined.join(sets.select("class", "first_id"), "class"), "groups")
+    stands = groups.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "class")).alias("m")).select("component", F.col("m.first_id").alias("class_id"), F.col("m.class").alias("class_at"))
+    by_class = groups.join(stands, "component").select("class", "class_id", "class_at")
+    by_set = sets.select("set_id", "class", "first_id", "copies").join(degree, "class", "left").join(by_class, "class", "left")
+    of_row = sketches.select("at", "doc_id", "set_id").join(by_set, "set_id", "left")
+    some, grouped = F.col("set_id").isNotNull(), F.col("class_at").isNotNull()
+    return of_row.select(
+        "at",
+        "doc_id",
+        F.when(grouped, F.col("class_id")).when(some, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("class_at", "class", "at").alias("class_at"),
+        F.when(some, F.col("first_id")).otherwise(F.col("doc_id")).alias("set_first"),
+        (F.coalesce("n_docs", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
+    )
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, set_first, n_links, n_texts) for each row of ``docs``.
 
@@ -218,21 +274,16 @@ def similar(docs: DataFrame) -> DataFrame:
     documents with the same shingle set; n_links counts the other documents that
     are linked to this one, copies included, n_texts the different sets among them.
     """
-    importable(docs.sparkSession)
-    sketches = classes(docs)
-    sets, groups = candidate_groups(sketches)
-    linked = found_links(docs, sets, groups)
-    degree = linked.groupBy("class").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    joined = components(linked.select(F.col("class").alias("u"), F.col("first").alias("v"))).withColumnsRenamed({"node": "class", "component": "class_id"})
-    by_set = sets.join(degree, "class", "left").join(joined, "class", "left")
-    links_of = F.coalesce("n_docs", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    return sketches.select("doc_id", "set_id").join(by_set, "set_id", "left").select("doc_id", F.coalesce("class_id", "class", "doc_id").alias("class_id"), F.coalesce("class", "doc_id").alias("set_first"), links_of.cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+    rows = sources(docs, "doc_id").select(F.monotonically_increasing_id().alias("at"), "doc_id", "text")
+    return linked_rows(rows).drop("at", "class_at")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, the smallest identifier, of each linked group."""
-    gone = similar(docs).where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one row, of the smallest identifier, of each linked group."""
+    at = fresh(docs, "at")
+    rows = staged(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
+    gone = linked_rows(sources(rows, "doc_id", at).withColumnRenamed(at, "at").select("at", "doc_id", "text")).where("class_at <> at").select(F.col("at").alias(f"{at}_gone"))
+    return rows.join(gone, F.col(at) == F.col(f"{at}_gone"), "left_anti").drop(at)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

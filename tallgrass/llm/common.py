@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch, where the session keeps Spark's default of 10,000: texts
+#: of some kilobytes then take a few megabytes in a Python worker.
+BATCH_ROWS = 1000
+
+
 @functools.cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="tallgrass-")
@@ -20,9 +26,14 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local runs, tests) a temporary one is made.
+    A local session (tests) that has none gets a temporary one; a cluster must name it.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_folder()}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"file://{_own_folder()}"
+    raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -42,7 +53,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers that start from now on find this package where the driver did."""
+    """Python workers that start from now on find this package where the driver did,
+    and get batches of BATCH_ROWS rows unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -66,3 +80,10 @@ def sources(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """
     importable(docs.sparkSession)
     return docs.select(*columns, text_of(text).alias(text))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new to ``df``."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,33 +123,78 @@ def brute_links(rows):
     for a in range(len(rows)):
         for b in range(a):
             n = len(sets[a] & sets[b])
-            if n and rows[a][0] is not None and rows[b][0] is not None and 10 * n >= 8 * len(sets[a] | sets[b]):
+            if n and 10 * n >= 8 * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
-                x, y = sorted((find(a), find(b)), key=lambda k: rows[k][0])
+                x, y = sorted((find(a), find(b)), key=lambda k: (rows[k][0] is None, rows[k][0], k))
                 root[y] = x
-    return [(i, rows[find(k)][0], links[k]) for k, (i, _) in enumerate(rows)]
+    return sorted(((i, rows[find(k)][0], links[k]) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def check_links(table, rows):
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in similar(table(rows)).collect()), key=repr) == brute_links(rows)
+
+
+def around(base, n, first, changes=6):
+    """``n`` versions of a text with some words changed: pairs on both sides of the threshold."""
+    out = []
+    for k in range(n):
+        w = list(base)
+        for c in range(k % changes):
+            w[(k * 13 + c * 29) % len(w)] = f"w{k}"
+        out.append((first + k, " ".join(w)))
+    return out
 
 
 def test_similar(table, rows, words, monkeypatch):
     monkeypatch.setattr(bayes_join, "BLOCK", 8)
-    near = []
-    for k in range(40):  # one large component with pairs on both sides of the threshold
-        w = words(200, 9)
-        for c in range(k % 6):
-            w[(k * 13 + c * 29) % 200] = f"w{k}"
-        near.append((200 + k, " ".join(w)))
-    rows = [r for r in rows if r[0] != 7] + near
-    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in similar(table(rows)).collect() if r["doc_id"] is not None)
-    assert got == sorted(r for r in brute_links(rows) if r[0] is not None)
+    near = around(words(200, 9), 40, 200)
+    # identifiers that several texts share, a class of null identifiers, and one with a null among others
+    odd = [(7, "quite another text " * 3), (6, near[2][1]), (None, near[3][1]), (None, " ".join(words(70, 31))), (None, " ".join(words(70, 31)) + " end"), (None, None)]
+    check_links(table, [*rows, *near, *odd])
     assert similar(table([])).count() == 0
 
 
-def test_drop_near_copies(table, rows):
-    got = drop_near_copies(table(rows))
-    assert got.columns == table([]).columns
-    left = [r["doc_id"] for r in got.collect()]
-    assert 6 in left and 7 not in left and 8 not in left and 5 not in left and {1, 2, 3, 4, 9, 11} <= set(left) and None in left
+def test_similar_around_a_hub_and_along_a_chain(table, words, monkeypatch):
+    """Boilerplate ties the texts of a chain by bands, and most of its pairs are not alike."""
+    monkeypatch.setattr(bayes_join, "BLOCK", 4)
+    plate = words(120, 5)
+    chain = [(k, " ".join(plate[k : k + 60] + words(40, 700 + k))) for k in range(0, 60, 2)]
+    slide = words(400, 6)
+    chain += [(1000 + k, " ".join(slide[4 * k : 4 * k + 80])) for k in range(70)]
+    base = words(100, 8)
+    hub = [(2000, " ".join(base))] + [(2001 + k, " ".join(base[: 80 - k % 3] + words(15, 900 + k))) for k in range(30)]
+    check_links(table, chain + hub)
+
+
+def test_recall_on_documents(spark):
+    """All links of an exact join over the table are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    ids, sets = list(text), list(shingle_sets(pa.array(list(text.values()))))
+    holders = {}
+    for k, s in enumerate(sets):
+        for g in s.tolist():
+            holders.setdefault(g, []).append(k)
+    shared = Counter((a, b) for own in holders.values() if len(own) > 1 for n, b in enumerate(own) for a in own[:n])
+    links = Counter()
+    for (a, b), n in shared.items():
+        if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n):
+            links.update((ids[a], ids[b]))
+    assert sum(links.values()) > 150
+    assert {r["doc_id"]: r["n_links"] for r in similar(docs).where("n_links > 0").collect()} == dict(links)
+
+
+def test_drop_near_copies(table, rows, words):
+    clash = rows + [(7, " ".join(words(50, 41)))]  # the identifier of a near copy, another text
+    got = drop_near_copies(table(clash).withColumn("set_id", F.lit(1)))
+    assert got.columns == [*table([]).columns, "set_id"]
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert Counter(i for i, _ in left)[7] == 1 and clash[-1] in left
+    ids = [i for i, _ in left]
+    assert 6 in ids and 8 not in ids and 5 not in ids and {1, 2, 3, 4, 9, 11} <= set(ids) and None in ids
+    again = drop_near_copies(table([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None)]))
+    assert sorted(((r["doc_id"], r["text"]) for r in again.collect()), key=repr) == [(5, "a b c d e f"), (None, None), (None, None)]
 
 
 def test_pruning_keeps_what_can_reach_the_threshold():
