@@ -13,14 +13,15 @@ good, of at most FIT_ROWS labelled rows, those with the smallest hash of their
 identifier.  k is the number of documents whose weight reaches the value that best
 splits these labelled rows into good and bad.
 
-Only counts of buckets, histograms and at most FIT_ROWS labels reach the driver.
-The k-th largest score is found digit by digit: four counts of 65536 cells.
+Only counts of buckets and at most FIT_ROWS labels with their weights reach the
+driver.  The k-th largest score is found digit by digit: four counts of 65536 cells.
 
 Rows: null text counts as empty, has weight 0 and is judged like any other row;
 repeated rows share weight and noise, and all rows that tie with the k-th stay;
 null identifiers share one noise value; without labels of both kinds there is no target and
 everything stays; an empty table gives an empty result.  Other columns are not
-read; ``select_quality`` returns them unchanged.
+read; ``select_quality`` returns them unchanged, whatever their names.  A very long
+text is hashed alone, with memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -33,14 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, importable, sources, staged
+from .common import documents, fresh, importable, sources, staged, text_of
 from .ngrams import mix, ngram_hashes, slices, word_hashes
 
 BUCKETS = 10_000
 FIT_ROWS = 20_000
 SEED = 17
-#: Cells of the histogram that splits the labelled rows: weights from -CELLS to CELLS.
-CELLS = 5_000
 #: A good document that goes costs as much as this many bad ones that stay.
 GOOD_COST = 5
 
@@ -54,7 +53,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def gumbel(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
-    u = (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64)
+    start = np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    u = (mix(ids.astype(np.int64).view(np.uint64) + start) >> np.uint64(11)).astype(np.float64)
     return -np.log(-np.log((u + 0.5) / 2.0**53))
 
 
@@ -94,8 +94,7 @@ class Model:
             out[first:last] = np.bincount(text, count * np.log(p / q), minlength=last - first)
         return out
 
-    def scores(self, ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        number = identifiers(ids)
+    def scores(self, number: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         weight = self.weights(number, texts)
         return weight, weight + gumbel(number)
 
@@ -134,31 +133,38 @@ def fit(docs: DataFrame, known: dict[int, int]) -> Model:
     return Model(counts[0], counts[1], good)
 
 
-def best_split(cells: dict[tuple[int, int], int]) -> int | None:
-    """The cell from which labelled rows are called good, by GOOD_COST times the
-    share of good rows above it plus the share of bad rows below; the lowest of equals."""
-    good, bad = np.zeros(2 * CELLS + 1), np.zeros(2 * CELLS + 1)
-    for (cell, quality), n in cells.items():
-        (good if quality == 1 else bad)[cell + CELLS] += n
-    if not good.sum() or not bad.sum():
+def best_split(weights: list[tuple[float, int]]) -> float | None:
+    """The least weight that is called good, by GOOD_COST times the share of good
+    labelled rows from it on plus the share of bad ones below; the lowest of equals.
+    Of (weight, quality) pairs, of which there are at most as many as labels."""
+    if not weights:
+        return None
+    weight, quality = (np.array(c) for c in zip(*sorted(weights), strict=True))
+    good, bad = quality == 1, quality != 1
+    if not good.any() or not bad.any():
         return None
     above = np.cumsum(good[::-1])[::-1] / good.sum()
     below = np.append(0, np.cumsum(bad)[:-1]) / bad.sum()
-    return int(np.argmax(GOOD_COST * above + below)) - CELLS
+    first = np.append(True, weight[1:] != weight[:-1])  # rows of one weight are not parted
+    value = np.where(first, GOOD_COST * above + below, -1.0)
+    return float(weight[np.argmax(value)])
 
 
-def scored(docs: DataFrame, model: Model, known: dict[int, int]) -> DataFrame:
-    """Staged: doc_id, log_weight, score, key, quality of the labelled rows."""
-    rows = sources(docs, "doc_id")
+def scored(docs: DataFrame, model: Model, known: dict[int, int], name: str = "scores") -> DataFrame:
+    """Staged: ``docs`` with the struct ``name``: log_weight, score, key, quality of labelled rows.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            weight, total = model.scores(batch.column(0), batch.column(1))
-            quality = pa.array([known.get(i) for i in batch.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(total), pa.array(order_key(total)), quality], ["doc_id", "log_weight", "score", "key", "quality"])
+    Only identifiers and texts go to Python; other columns stay where they are.
+    """
+    importable(docs.sparkSession)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return staged(rows.mapInArrow(score, f"doc_id {kind}, log_weight double, score double, key long, quality int"), "scores")
+    def score(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        number = identifiers(ids)
+        weight, total = model.scores(number, texts)
+        quality = pa.array([known.get(i) for i in ids.to_pylist()], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(weight), pa.array(total), pa.array(order_key(total)), quality], ["log_weight", "score", "key", "quality"])
+
+    udf = F.arrow_udf(score, "log_weight double, score double, key long, quality int")
+    return staged(docs.withColumn(name, udf(F.col("doc_id").cast("long"), text_of())), "scores")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int:
@@ -177,33 +183,35 @@ def kth_largest(keys: DataFrame, k: int) -> int:
     return prefix - 2**63
 
 
+def settle(model: Model, scores: DataFrame) -> None:
+    """Sets the split and the least key that stays; ``scores`` as :func:`scored` names them."""
+    labelled = scores.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("log_weight", "quality")).alias("r")).select("r.*")
+    model.split = best_split([tuple(r) for r in labelled.collect()])  # at most a row for each label
+    if model.fitted and model.split is not None:
+        k = scores.where(F.col("log_weight") >= model.split).count()
+        if k:
+            model.least_key = kth_largest(scores, k)
+
+
 def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, DataFrame]:
     """The fitted model with the least key that stays, and the staged scores."""
     known = labelled(labels, fit_rows)
     model = fit(docs, known)
-    scores = scored(docs, model, known)
-    cell = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor("log_weight"))).cast("int")
-    cells = {(r["cell"], r["quality"]): r["n"] for r in scores.where("quality IS NOT NULL").groupBy(cell.alias("cell"), "quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model.split = best_split(cells)
-    if model.fitted and model.split is not None:
-        k = scores.where((F.col("log_weight") >= model.split) if model.split > -CELLS else F.lit(True)).count()
-        if k:
-            model.least_key = kth_largest(scores, k)
+    scores = scored(sources(docs, "doc_id"), model, known).select("doc_id", "scores.*")
+    settle(model, scores)
     return model, scores
 
 
 def select_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, unchanged."""
-    importable(docs.sparkSession)
-    model, _ = resample(docs, labels)
-    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, score = model.scores(batch.column(at), batch.column(text).fill_null(""))
-            yield batch.filter(pa.array(order_key(score) >= model.least_key))
+    """The rows of ``docs`` that the classifier keeps, unchanged.
 
-    return docs.mapInArrow(keep, docs.schema)
+    Texts are scored once: the rows are staged with their scores and filtered there.
+    """
+    known, name = labelled(labels, FIT_ROWS), fresh(docs, "scores")
+    model = fit(docs, known)
+    rows = scored(docs, model, known, name)
+    settle(model, rows.select("doc_id", f"{name}.*"))
+    return rows.where(F.col(f"{name}.key") >= model.least_key).drop(name)
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-SPAN = 1_000_000
+#: Bytes that are hashed together: the arrays of a slice take about 60 bytes for each.
+SPAN = 1 << 17
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
