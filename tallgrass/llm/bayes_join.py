@@ -9,10 +9,10 @@ runs is THRESHOLD or more.
 2. Signatures are cut into BANDS bands of ROWS values.  A pair at the threshold
    shares no band with probability (1 - t**ROWS)**BANDS, about 1e-7.  Classes that
    share a band are candidates.
-3. A class is at home in the largest of its shared bands; the classes at home in one
-   band are dealt into blocks of about BLOCK classes or WEIGHT shingles.  Two blocks
-   meet if a band is in both, once, whatever the number of such bands.  So near
-   copies meet in one block, and texts tied by a chain of bands do not all meet.
+3. A class is at home with the first class that it reaches over two bands; the
+   classes of one home are dealt into blocks of about BLOCK classes or WEIGHT shingles.
+   Two blocks meet if a band is in both, once, whatever the number of such bands.  So
+   near copies meet in one home, and texts tied by a chain of bands do not all meet.
 4. In a meeting, signatures are compared STEP values at a time; a pair is dropped
    once the posterior probability that its similarity reaches the threshold, under a
    uniform prior, is below TOLERANCE.  What is left is verified on the shingle sets,
@@ -186,14 +186,17 @@ def classes(sketches: DataFrame) -> DataFrame:
 
 def blocks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged: (class, copies, block) of the candidates, and (block, a, b): its meetings."""
-    banded = sets.select("class", "size", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1")
-    ties = staged(banded.select("class", "band").join(shared, "band"), "bands")
-    home = ties.groupBy("class").agg(F.max(F.struct("n", "band", "weight")).alias("home"))
-    # of the band's whole size, so that no count of those at home is needed
-    n_blocks = F.ceil(F.greatest(F.col("home.n") / BLOCK, F.col("home.weight") / WEIGHT))
-    placed = staged(home.select("class", F.xxhash64("home.band", F.pmod(F.xxhash64("class"), n_blocks)).alias("block")), "blocks")
-    inside = ties.join(placed, "class").select("band", "block").distinct()
+    banded = sets.select("class", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = staged(banded.join(shared, "band").select("class", "band", "first"), "bands")
+    # twice, so that a member of a large group that misses its first class comes to its home as well
+    near = ties.groupBy("class").agg(F.min("first").alias("home"))
+    by_band = ties.join(near, "class").groupBy("band").agg(F.min("home").alias("home"))
+    homes = ties.select("class", "band").join(by_band, "band").groupBy("class").agg(F.min("home").alias("home")).join(sets.select("class", "copies", "size"), "class")
+    homes = staged(homes, "homes")
+    full = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / WEIGHT)).alias("n_blocks"))
+    placed = staged(homes.join(full, "home").select("class", "copies", F.xxhash64("home", F.pmod(F.xxhash64("class"), "n_blocks")).alias("block")), "blocks")
+    inside = ties.join(placed.select("class", "block"), "class").select("band", "block").distinct()
     several = staged(inside.groupBy("band").agg(F.collect_set("block").alias("blocks")).where("size(blocks) > 1"), "block-bands")
     # blocks of a band, not its texts: BLOCK times fewer
     ordered = several.select(F.array_sort("blocks").alias("blocks")).distinct()
@@ -201,8 +204,7 @@ def blocks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     meetings = staged(meetings, "meetings")
     alone = placed.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()
     both = meetings.select(F.col("a").alias("block"), "a", "b").union(meetings.select(F.col("b").alias("block"), "a", "b"))
-    members = placed.join(sets.select("class", "copies"), "class")
-    return staged(members, "members"), both.union(alone.select(F.col("a").alias("block"), "a", "b"))
+    return placed, both.union(alone.select(F.col("a").alias("block"), "a", "b"))
 
 
 def found_links(sketches: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
