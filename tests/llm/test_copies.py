@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.llm import bayes_join, repeats
+from tallgrass.llm import bayes_join, exact_dedup, repeats
 from tallgrass.llm.anchors import anchors
 from tallgrass.llm.bayes_join import drop_near_copies, least_matches, shingle_sets, similar
 from tallgrass.llm.components import components
@@ -103,9 +103,33 @@ def test_exact_groups(table, rows):
 
 
 def test_drop_copies(table, rows):
-    got = drop_copies(table(rows))
-    assert got.columns == table([]).columns
-    assert sorted((r["doc_id"] or 0) for r in got.collect()) == sorted({t or "": max((i or 0) for i, u in rows if (u or "") == (t or "")) for _, t in rows}.values())
+    for own in (table(rows), table(rows).withColumns({"path": F.lit("x"), "row": F.lit(1), "file": F.lit(2), "_metadata": F.lit(0)})):
+        got = drop_copies(own)
+        assert got.columns == own.columns
+        assert sorted((r["doc_id"] or 0) for r in got.collect()) == sorted({t or "": max((i or 0) for i, u in rows if (u or "") == (t or "")) for _, t in rows}.values())
+
+
+def test_two_arrivals(table, tmp_path):
+    """State outlives a call; hits with earlier rows are read from their files."""
+    first = [(1, "a"), (5, "b"), (6, "b"), (None, None)]
+    second = [(2, "a"), (4, "b"), (7, "c"), (8, "")]
+    short = lambda c: F.unhex(F.substring(F.sha2(c.cast("binary"), 256), 1, 0))  # noqa: E731  all digests meet
+    for k, digest in enumerate((exact_dedup.sha256, short)):
+        found = []
+        for n, own in enumerate((first, second)):
+            path = str(tmp_path / f"rows {k}{n}")
+            table(own).write.parquet(path)
+            docs = table(own).sparkSession.read.parquet(path)
+            found.append(sorted(((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(docs, digest, state=str(tmp_path / f"state{k}")).collect())))
+        assert found[0] == [(0, None, 1, True), (1, 1, 1, True), (5, 6, 2, False), (6, 6, 2, True)]
+        assert found[1] == [(2, 2, 2, True), (4, 6, 3, False), (7, 7, 1, True), (8, 8, 2, True)]
+
+
+def test_only_texts_of_hits_are_compared(table):
+    docs = table([(k, f"text {k % 90}") for k in range(100)])
+    hashed = docs.withColumn("digest", exact_dedup.sha256(F.col("text")))
+    hits = hashed.groupBy("digest").count().where("count > 1").select("digest")
+    assert exact_dedup.likely(hashed, hits).count() == 20 and exact_dedup.likely(hashed, hits.limit(0)).count() == 0
 
 
 def brute_links(rows):
