@@ -1,31 +1,41 @@
 """Lazily determinised merge transducers, run over many chunks at once.
 
-A byte-pair tokenizer is compiled into a finite-state transducer over bytes.
-Its arcs are the pieces of the vocabulary; two pieces may follow each other at
-weight 0 when the merge procedure, applied to their concatenation, gives back
-exactly these two pieces, and at weight infinity otherwise.  Merges never cross
-a boundary that is stable for the two pieces beside it, so the one path of
-finite weight through a text is the tokenizer's own segmentation.
+A byte-pair tokenizer is compiled into a weighted finite-state transducer over
+bytes.  Its arcs are the pieces of the vocabulary; in the tropical semiring an arc
+weighs 0 after a piece when the merge procedure, applied to both together, gives back
+exactly these two pieces, and infinity otherwise.  Merges never cross a boundary that
+is stable for the two pieces beside it, so the tokenizer's own segmentation is the
+one path of weight 0.  With ``by_char``, the bytes of a character are arcs as well,
+of weight FALLBACK each: the shortest path takes them where no piece has the character.
 
 Determinisation is lazy: a state holds, for every start position from which a
-piece can still end later, the trie node reached, the piece before it and the
-number of pieces up to it relative to the newest position.  Each transition
-carries the change of the piece count, so the sum of what is emitted along a
-text is its number of tokens.  States and transitions are made when first met;
-``max_states`` bounds them (the table is dropped and built anew beyond it).
-
-``run`` splits the input into chunks of equal length.  Every chunk is first
-run from the start state, all chunks in step.  A chunk whose entry state differs is
-then run again, in rounds, only until both runs meet.  This stands in place of a
-prefix scan over the chunks' state maps, which are not built.
+piece can still end later, the trie node reached, the piece before it, the number of
+pieces up to it relative to the newest position, and the weight of the shortest path to
+it less the least of these (the residual).  At each position the shortest of the paths
+that end there goes on.  Each transition carries the change of the piece count, so the
+sum of what is emitted along a text is its number of tokens.  States and transitions
+are made when first met; ``max_states`` bounds them (the table is dropped and built
+anew beyond it).
+
+``run`` splits the input into chunks of equal length.  Each chunk gets its state map,
+(entry state) -> (exit state, number of tokens), on the states that it can be entered
+in: the start state first, then what the maps of the chunk before it lead to, until
+nothing new comes up.  All chunks are run in step.  The maps are composed by a parallel
+prefix scan, in rounds of doubled reach, which gives every chunk's entry state and the
+number of tokens before it.  Should the maps not close in ROUNDS rounds (one word
+over many chunks), the chunks concerned are run from their true entries in order.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 RESET = 0xFF
 BOS, UNKNOWN = -1, -2
+FALLBACK = 1
+ROUNDS = 6
 
 
 class MergeAutomaton:
@@ -44,7 +54,7 @@ class MergeAutomaton:
         self._stable, self.by_char, self.closing, self.max_states = stable, by_char, closing, max_states
         self._child: dict[int, int] = {}
         self._open, self._close, self._special = [-1], [-1], {}
-        self._memo: dict[tuple[int, int], bool] = {}
+        self._memo: dict[int, bool] = {}
         top = 0
         for i, body, closes in pieces:
             node = self._node(body)
@@ -72,80 +82,87 @@ class MergeAutomaton:
         return node
 
     def _clear(self) -> None:
-        self._keys: list = []
-        self._index: dict = {}
+        self._keys: list[bytes] = []
+        self._index: dict[bytes, int] = {}
         self._column = np.full(256, -1, np.int32)
         self._bytes: list[int] = []
         self._next = np.full((1024, 32), -1, np.int32)
         self._emit = np.zeros((1024, 32), np.int16)
         self.last = np.full(1024, BOS, np.int32)
         self.final = np.full(1024, BOS, np.int32)
-        self._state((0, 0, ((0, BOS, 0),)))
+        self._state((0, 0, 0, ((0, BOS, 0, 0),)))
 
     def _ok(self, left: int, right: int) -> bool:
+        """Whether the arc weighs 0; else it weighs infinity."""
         if left == UNKNOWN:
             left = BOS
-        found = self._memo.get((left, right))
+        code = left + 1 << 32 | right
+        found = self._memo.get(code)
         if found is None:
-            if len(self._memo) > 2_000_000:
+            if len(self._memo) > 500_000:
                 self._memo.clear()
-            found = self._memo[left, right] = self._stable(left, right)
+            found = self._memo[code] = self._stable(left, right)
         return found
 
     def _state(self, key) -> int:
-        at = self._index.get(key)
+        left_over, size, fall, live = key
+        packed = array("i", (left_over, size, fall, *(x for item in live for x in item))).tobytes()
+        at = self._index.get(packed)
         if at is None:
-            at = self._index[key] = len(self._keys)
-            self._keys.append(key)
+            at = self._index[packed] = len(self._keys)
+            self._keys.append(packed)
             if at >= len(self._next):
                 self._next = np.concatenate([self._next, np.full_like(self._next, -1)])
                 self._emit = np.concatenate([self._emit, np.zeros_like(self._emit)])
                 self.last = np.concatenate([self.last, np.full_like(self.last, BOS)])
                 self.final = np.concatenate([self.final, np.full_like(self.final, BOS)])
-            self.last[at] = key[2][0][1] if key[0] == 0 else BOS
+            self.last[at] = live[0][1] if left_over == 0 else BOS
             if self.closing:
-                self.final[at] = self._finish(key)[0]
+                self.final[at] = self._finish(live)[0]
         return at
 
-    def _finish(self, key) -> tuple[int, int]:
+    def _key(self, at: int):
+        flat = array("i")
+        flat.frombytes(self._keys[at])
+        return flat[0], flat[1], flat[2], tuple(zip(flat[3::4], flat[4::4], flat[5::4], flat[6::4], strict=True))
+
+    def _finish(self, live) -> tuple[int, int]:
         """The closing piece after these bytes, and the change of the count."""
-        for node, _, rel in key[2]:
+        for node, _, rel, _ in live:
             if node in self._special:
                 return self._special[node], rel + 1
-        for node, left, rel in key[2]:
-            if node and (piece := self._close[node]) >= 0 and self._ok(left, piece):
-                return piece, rel + 1
-        return BOS, 0
+        ends = [(w, -rel, piece, rel + 1) for node, left, rel, w in live if node and (piece := self._close[node]) >= 0 and self._ok(left, piece)]
+        return min(ends)[2:] if ends else (BOS, 0)
 
     def _step(self, key, b: int):
-        left_over, size, live = key
+        left_over, size, fall, live = key
         if b == RESET:
-            return (0, 0, ((0, BOS, 0),)), self._finish(key)[1] if self.closing else 0
+            return (0, 0, 0, ((0, BOS, 0, 0),)), self._finish(live)[1] if self.closing else 0
         if self.by_char:
             if left_over:
-                left_over, size = left_over - 1, size + 1
-            else:
-                left_over, size = (0 if b < 0xC0 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3), 1
-        else:
-            size = 0
-        moved, piece, made = [], UNKNOWN, size
-        for node, left, rel in live:
+                left_over, size, fall = left_over - 1, size + 1, fall + FALLBACK
+            else:  # the path to this position goes on by the character's bytes
+                left_over, size, fall = (0 if b < 0xC0 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3), 1, live[0][3] + FALLBACK
+        moved, best = [], (fall, UNKNOWN, size) if self.by_char else (1 << 30, UNKNOWN, 0)
+        for node, left, rel, w in live:
             nxt = self._child.get(node << 8 | b)
             if nxt is None:
                 continue
-            moved.append((nxt, left, rel))
-            if piece == UNKNOWN and not left_over and (t := self._open[nxt]) >= 0 and self._ok(left, t):
-                piece, made = t, rel + 1
+            moved.append((nxt, left, rel, w))
+            if not left_over and w < best[0] and (t := self._open[nxt]) >= 0 and self._ok(left, t):
+                best = (w, t, rel + 1)
         if left_over:
-            return (left_over, size, tuple(moved)), 0
-        return (0, 0, ((0, piece, 0), *((n, p, r - made) for n, p, r in moved))), made
+            return (left_over, size, fall, tuple(moved)), 0
+        weight, piece, made = best
+        least = min([weight, *(w for _, _, _, w in moved)])
+        return (0, 0, 0, ((0, piece, 0, weight - least), *((n, p, r - made, w - least) for n, p, r, w in moved))), made
 
     def _fill(self, states, symbols) -> None:
         width = self._next.shape[1]
         for code in np.unique(states.astype(np.int64) * width + symbols).tolist():
             at, col = divmod(code, width)
             if self._next[at, col] < 0:
-                key, made = self._step(self._keys[at], self._bytes[col])
+                key, made = self._step(self._key(at), self._bytes[col])
                 to = self._state(key)
                 self._next[at, col], self._emit[at, col] = to, made
 
@@ -171,10 +188,10 @@ class MergeAutomaton:
         return to, self._emit.ravel()[at]
 
     def run(self, buf: np.ndarray, chunk: int = 256):
-        """State after, and change of the count at, each byte of ``buf``."""
+        """State after each byte of ``buf``, and the number of pieces up to it."""
         n = len(buf)
         if n == 0:
-            return np.zeros(0, np.int32), np.zeros(0, np.int16)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self._keys) > self.max_states:
             self._clear()
         lanes = -(-n // chunk)
@@ -186,20 +203,82 @@ class MergeAutomaton:
         for t in range(chunk):
             at, made[t] = self._advance(at, symbols[t])
             states[t] = at
-        # run again the chunks whose entry is not the start state
-        redo = np.flatnonzero(at[:-1]) + 1
-        while len(redo):
-            at, lane = states[-1, redo - 1], redo
-            for t in range(chunk):
-                at, made[t, lane] = self._advance(at, symbols[t, lane])
-                apart = at != states[t, lane]
-                if not apart.any():
-                    lane = lane[:0]
+        before = self._enter(symbols, states, made)
+        total = before + np.cumsum(made, axis=0, dtype=np.int64)
+        return states.T.reshape(-1)[:n], total.T.reshape(-1)[:n]
+
+    def _from(self, lane: np.ndarray, entry: np.ndarray, symbols, states, made):
+        """Runs of chunks from entries, until they meet the chunk's run from the start state.
+
+        (states, changes of the count) up to where they meet, this place, exit states, counts.
+        """
+        chunk, m = len(symbols), len(lane)
+        own, change = np.empty((chunk, m), np.int32), np.empty((chunk, m), np.int16)
+        meet, live, at = np.full(m, chunk), np.arange(m), entry
+        for t in range(chunk):
+            at, change[t, live] = self._advance(at, symbols[t, lane[live]])
+            own[t, live] = at
+            apart = at != states[t, lane[live]]
+            meet[live[~apart]] = t + 1
+            at, live = at[apart], live[apart]
+            if not len(live):
+                break
+        leaves = states[-1, lane].copy()
+        leaves[live] = at
+        early = np.arange(chunk)[:, None] < meet
+        count = np.where(early, change, made[:, lane]).sum(0, dtype=np.int64)
+        return own, change, meet, leaves, count
+
+    def _enter(self, symbols, states, made) -> np.ndarray:
+        """Puts the runs from the true entry states into ``states`` and ``made``; the
+        number of pieces before each chunk."""
+        chunk, lanes = states.shape
+        # slots of the state maps: entry, exit and count; slot 0 is the start state
+        entries, leaves = np.full((lanes, ROUNDS + 2), -1, np.int64), np.full((lanes, ROUNDS + 2), -1, np.int64)
+        counts, size = np.zeros((lanes, ROUNDS + 2), np.int64), np.ones(lanes, np.int64)
+        entries[:, 0], leaves[:, 0], counts[:, 0] = 0, states[-1], made.sum(0, dtype=np.int64)
+        runs, lane, entry = [], np.arange(1, lanes), states[-1, :-1]
+        for _ in range(ROUNDS):
+            new = ~(entries[lane] == entry[:, None]).any(1)
+            lane, entry = lane[new], entry[new]
+            if not len(lane):
+                break
+            own, change, meet, out, count = self._from(lane, entry, symbols, states, made)
+            slot = size[lane]
+            entries[lane, slot], leaves[lane, slot], counts[lane, slot] = entry, out, count
+            size[lane] += 1
+            runs.append((lane, slot, own, change, meet))
+            more = lane + 1 < lanes
+            lane, entry = lane[more] + 1, out[more]
+        # maps between slots of neighbours; -1 where the next chunk's map lacks the state
+        after = np.full(leaves.shape, -1, np.int64)
+        same = entries[1:, None, :] == leaves[:-1, :, None]
+        after[:-1] = np.where(same.any(2) & (leaves[:-1] >= 0), same.argmax(2), -1)
+        first, into, before = 0, 0, None
+        while first < lanes:
+            slot, total = scan(after[first:], counts[first:], into)
+            before = total if first == 0 and (slot >= 0).all() else None
+            for lane, number, own, change, meet in runs:
+                true = (lane >= first) & (slot[np.maximum(lane - first, 0)] == number)
+                self._lay(lane[true], own[:, true], change[:, true], meet[true], states, made)
+            shut = np.flatnonzero(slot < 0)
+            first = first + int(shut[0]) if len(shut) else lanes
+            while first < lanes:  # a map that did not close: from the true entry
+                known = entries[first] == states[-1, first - 1]
+                if known.any():
+                    into = int(known.argmax())
                     break
-                at, lane = at[apart], lane[apart]
-                states[t, lane] = at
-            redo = lane[lane + 1 < lanes] + 1
-        return states.T.reshape(-1)[:n], made.T.reshape(-1)[:n]
+                one = np.array([first])
+                own, change, meet, *_ = self._from(one, states[-1, one - 1], symbols, states, made)
+                self._lay(one, own, change, meet, states, made)
+                first += 1
+        return np.append(0, np.cumsum(made.sum(0, dtype=np.int64))[:-1]) if before is None else before
+
+    @staticmethod
+    def _lay(lane, own, change, meet, states, made) -> None:
+        early = np.arange(len(states))[:, None] < meet
+        states[:, lane] = np.where(early, own, states[:, lane])
+        made[:, lane] = np.where(early, change, made[:, lane])
 
     def trace(self, buf: np.ndarray, states: np.ndarray):
         """Ids of the pieces at the position of their first byte, else -1.
@@ -227,6 +306,20 @@ class MergeAutomaton:
         return ids
 
 
+def scan(after: np.ndarray, counts: np.ndarray, into: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix scan of maps: map i leads from slot s to slot after[i, s] of map i + 1 (-1:
+    to none) and counts counts[i, s].  From slot ``into`` of the first map: the slot in
+    which each map is entered, and the sum of what the maps before it count."""
+    n = len(after)
+    to, total, reach = after.copy(), counts.copy(), 1
+    while reach < n:
+        first, then = to[:-reach], np.arange(reach, n)[:, None]
+        some, via = first >= 0, np.maximum(first, 0)
+        to[reach:], total[reach:] = np.where(some, to[then, via], -1), total[:-reach] + np.where(some, total[then, via], 0)
+        reach *= 2
+    return np.append(into, to[:-1, into]), np.append(0, total[:-1, into])
+
+
 def merged(symbols: list, rank) -> list:
     """Byte-pair merges: the best pair first, the leftmost of equals.
 

@@ -1,26 +1,30 @@
 """Encoding and decoding with a SentencePiece model as a transducer (operator 3).
 
-Only the pieces are compiled into the weighted transducer, an arc for each entry of
-the vocabulary.  The normaliser is a replacement of strings before it (space mark,
-one space in front; other normalisers are refused), and the bytes of a character that
-is no piece are filled in after the path is traced.  In a BPE model the best segmentation is not the one with the largest sum of
-scores but the one that the merges make, so arcs are weighted in the tropical
-semiring as :mod:`automaton` says: 0 for two pieces that stay apart when their
-concatenation is merged, infinity for others.  The shortest path is the only one of
-finite weight, and equals the library's result.  Composition with each input and the
-search run lazily, state by state, for all chunks of a batch in step.  Where no piece
+Two weighted transducers are compiled from the model: :class:`Normaliser` (one space in
+front, space marks to spaces; other normalisers are refused), and that of
+:mod:`automaton` with an arc for each piece and byte-fallback arcs for characters that
+no piece has.  Each input is composed with the one and the result with the other, and
+the shortest path of the composition in the tropical semiring gives the ids.
+
+In a BPE model the best segmentation is not the one with the largest sum of scores but
+the one that the merges make.  So a piece's arc weighs 0 where it and the piece before
+stay apart when their concatenation is merged, and infinity elsewhere; fallback arcs weigh
+more than 0.  The shortest path equals the library's result.  Composition and search run
+lazily, state by state, for all chunks of a batch in step.  Where no piece
 goes on from another character into a space, no path depends on what lies before,
 and the input is cut there.
 
 Rows: null text counts as empty and has no ids; repeated rows are encoded each; an
 empty table gives an empty result; other columns are not read.  A space mark in a
-text becomes a space, as in the library.
+text becomes a space, as in the library.  A very long text is encoded alone, with memory
+in proportion to it.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,10 +39,63 @@ from .common import documents, sources
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-SPAN = 1_000_000
+SPAN = 1 << 18
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
 
 
+class Normaliser:
+    """Byte transducer: ``prefix`` before a text, and its ``replaced`` strings.
+
+    Arcs are (state, byte) -> (state, output); without one for a byte, a state fails to
+    that of the longest rest of what it holds and puts out what is before this rest.
+    """
+
+    START, BODY = 0, 1
+
+    def __init__(self, prefix: bytes, replaced: dict[bytes, bytes]):
+        self.prefix, self.arcs, self.held = prefix, {}, [b"", b""]
+        for old, new in replaced.items():
+            state = self.BODY
+            for k, b in enumerate(old):
+                if k == len(old) - 1:
+                    self.arcs[state, b] = self.BODY, new
+                elif (state, b) in self.arcs:
+                    state = self.arcs[state, b][0]
+                else:
+                    self.held.append(old[: k + 1])
+                    self.arcs[state, b] = len(self.held) - 1, b""
+                    state = len(self.held) - 1
+        # without an arc: what is surely not part of a replaced string, and the state of the rest
+        known = {h: k for k, h in enumerate(self.held) if k >= self.BODY}
+        self.fails = [next((h[:k], known[h[k:]]) for k in range(min(1, len(h)), len(h) + 1) if h[k:] in known) for h in self.held]
+        starts = bytes(b for s, b in self.arcs if s == self.BODY)
+        self._leaves = re.compile(b"[" + re.escape(starts) + b"]") if starts else re.compile(b"(?!)")
+
+    def run(self, raw: bytes) -> bytes:
+        """The output of the one path through ``raw``."""
+        if not raw:
+            return b""
+        out, state, i = [self.prefix], self.BODY, 0
+        while i < len(raw):
+            if state == self.BODY:  # loops that copy a byte are taken together
+                found = self._leaves.search(raw, i)
+                j = found.start() if found else len(raw)
+                out.append(raw[i:j])
+                i = j
+                if i == len(raw):
+                    break
+            arc = self.arcs.get((state, raw[i]))
+            if arc is None:
+                done, state = self.fails[state]
+                out.append(done)
+                continue
+            state, made = arc
+            out.append(made)
+            i += 1
+        out.append(self.held[state])
+        return b"".join(out)
+
+
 class PieceVocabulary:
     def __init__(self, path: str, max_states: int = 260_000):
         from sentencepiece import sentencepiece_model_pb2
@@ -52,6 +109,7 @@ class PieceVocabulary:
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
             raise ValueError("only identity normalisers that keep white space are supported")
         self.prefix = b" " if norm.add_dummy_prefix else b""
+        self.normaliser = Normaliser(self.prefix, {MARK.encode(): b" "})
         self.shown = [b""] * len(model.pieces)
         self._body, order, self._byte = {}, {}, np.zeros(256, np.int64)
         for i, p in enumerate(model.pieces):
@@ -84,7 +142,7 @@ class PieceVocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out, held, size = [], [], 0
         for t in texts:
-            held.append(self.prefix + t.replace(MARK, " ").encode() if t else b"")
+            held.append(self.normaliser.run(t.encode()))
             size += len(held[-1])
             if size > SPAN:
                 out += self._encode(held)

@@ -2,8 +2,9 @@
 
 The vocabulary is compiled into a deterministic transducer whose transitions
 carry the number of tokens they emit (:mod:`automaton`).  A batch of texts is
-one string of symbols cut into chunks; all chunks run in step, those whose
-entry state differs are run again, and the sums between two text starts are the
+one string of symbols cut into chunks; each chunk's state map (entry state to exit
+state and number of tokens) is made on the states it can be entered in, and a
+parallel prefix scan composes the maps.  Differences between two text starts are the
 counts.  The tokenizer library is not called.
 
 Rows: null and empty texts have 0 tokens; repeated rows are counted each; an

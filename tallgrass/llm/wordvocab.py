@@ -18,7 +18,7 @@ from .automaton import RESET, MergeAutomaton, merged
 #: Unicode White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters that are lexed and run together: arrays of this length stay in cache.
-SPAN = 1_000_000
+SPAN = 1 << 18
 OTHER, LETTER, NUMBER, MARK, SPACE = 0, 1, 2, 3, 4
 
 
@@ -146,8 +146,7 @@ class WordVocabulary:
         out = np.zeros(len(texts), np.int64)
         for a, b in self._spans(texts):
             buf, begin, n = self.symbols(texts[a:b])
-            _, made = self.automaton.run(buf)
-            total = np.append(0, np.cumsum(made, dtype=np.int64))
+            total = np.append(0, self.automaton.run(buf)[1])
             out[a:b] = total[np.append(begin[1:], n)] - total[begin]
         return out
 

@@ -10,9 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallgrass.llm.automaton import MergeAutomaton
+from tallgrass.llm.automaton import MergeAutomaton, scan
 from tallgrass.llm.packing import TightestFit, pack, plan
-from tallgrass.llm.piecevocab import PieceVocabulary, decode, digest, encode
+from tallgrass.llm.piecevocab import Normaliser, PieceVocabulary, decode, digest, encode
 from tallgrass.llm.token_count import token_counts
 from tallgrass.llm.wordvocab import WordVocabulary
 
@@ -71,10 +71,43 @@ def test_chunks_and_a_dropped_table_change_nothing(vocabulary):
         assert small.counts(ODD).tolist() == vocabulary.counts(ODD).tolist()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("a ▁▂“é"), max_size=12))
+def test_normaliser_transducer(text):
+    n = Normaliser(b" ", {"▁".encode(): b" ", "““".encode(): b"q"})
+    assert n.run(text.encode()) == (" " + text.replace("▁", " ").replace("““", "q") if text else "").encode()
+
+
+def test_state_maps_compose_as_serial_runs(vocabulary):
+    """The scan gives what composing map after map gives, open maps included."""
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        n, k = int(r.integers(1, 40)), int(r.integers(1, 5))
+        after, counts = r.integers(-1 if r.random() < 0.3 else 0, k, (n, k)), r.integers(0, 9, (n, k))
+        into = int(r.integers(0, k))
+        slot, total = [into], [0]
+        for i in range(n - 1):
+            total.append(total[-1] + (int(counts[i, slot[-1]]) if slot[-1] >= 0 else 0))
+            slot.append(int(after[i, slot[-1]]) if slot[-1] >= 0 else -1)
+        got = scan(after, counts, into)
+        assert got[0].tolist() == slot and all(a == b for a, b, s in zip(got[1].tolist(), total, slot, strict=True) if s >= 0)
+    for text in ("ab" * 3000, "abcdefghij" * 400 + " then words " * 40 + "qz" * 900, "x" * 999):
+        buf, _, _ = vocabulary.symbols([text])
+        assert (vocabulary.automaton.run(buf, 8)[1] == vocabulary.automaton.run(buf, 100_000)[1]).all()
+
+
+def test_shortest_path_takes_bytes_only_where_no_piece_has_the_character():
+    a = MergeAutomaton([(0, b"a", False), (1, b"b", False), (2, b"ab", False)], lambda x, y: (x, y) != (0, 1), by_char=True)
+    for text, want in (("ab", [2, -1]), ("aéab", [0, -2, -1, 2, -1]), ("ba", [1, 0])):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        states, total = a.run(buf)
+        assert a.trace(buf, states).tolist() == want and total[-1] == sum(x >= 0 for x in want) + 2 * want.count(-2)
+
+
 def test_automaton_without_pieces_for_a_character():
     a = MergeAutomaton([(0, b"a", False)], lambda x, y: True, by_char=True)
     states, made = a.run(np.frombuffer("aé".encode(), np.uint8))
-    assert made.sum() == 3 and a.trace(np.frombuffer("aé".encode(), np.uint8), states).tolist() == [0, -2, -1]
+    assert made[-1] == 3 and a.trace(np.frombuffer("aé".encode(), np.uint8), states).tolist() == [0, -2, -1]
 
 
 def test_counts_of_a_table(table, rows, library):
