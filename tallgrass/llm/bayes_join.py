@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, sources, staged
+from .common import documents, fresh, located, scratch, sources, staged, text_of
 from .components import components
 from .ngrams import ngram_hashes, slices, word_hashes
 
@@ -159,7 +159,8 @@ def compared(members: list[tuple[int, int, bool, np.ndarray]], both: bool) -> di
 
 def sketched(rows: DataFrame) -> DataFrame:
     """Staged: at, doc_id, set_id (digest of the shingle set, null if empty), size,
-    bands and packed text of rows (at, doc_id, text)."""
+    bands, packed text and other columns of rows (at, doc_id, text, ...)."""
+    others = rows.columns[3:]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdCompressor(level=3)
@@ -171,9 +172,10 @@ def sketched(rows: DataFrame) -> DataFrame:
                 bands.append(band_keys(signature(s)) if len(s) else None)
                 packed.append(codec.compress(raw.as_py()))
             columns = [pa.array(c, t) for c, t in ((digests, pa.binary()), (sizes, pa.int64()), (bands, pa.list_(pa.int64())), (packed, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["at", "doc_id", "set_id", "size", "bands", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != 2), *columns], ["at", "doc_id", *others, "set_id", "size", "bands", "packed"])
 
-    return staged(rows.mapInArrow(sketch, f"at long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_id binary, size long, bands array<long>, packed binary"), "signatures")
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("at", "doc_id", *others))
+    return staged(rows.mapInArrow(sketch, f"{kept}, set_id binary, size long, bands array<long>, packed binary"), "signatures")
 
 
 def classes(sketches: DataFrame) -> DataFrame:
@@ -243,10 +245,15 @@ def found_links(sketches: DataFrame, members: DataFrame, meetings: DataFrame) ->
 
 
 def linked_rows(rows: DataFrame) -> DataFrame:
-    """(at, doc_id, class_id, class_at, set_first, n_links, n_texts) of rows (at, doc_id, text).
+    """Staged: (at, doc_id, class_id, class_at, set_first, n_links, n_texts, ...) of rows (at, doc_id, text, ...).
 
     class_at is the row with the smallest identifier of the linked group.
     """
+    with scratch(rows.sparkSession):
+        return staged(_linked_rows(rows), "linked", last=True)
+
+
+def _linked_rows(rows: DataFrame) -> DataFrame:
     sketches = sketched(rows)
     sets = classes(sketches)
     linked = found_links(sketches, *blocks(sets))
@@ -256,7 +263,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
     stands = groups.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "class")).alias("m")).select("component", F.col("m.first_id").alias("class_id"), F.col("m.class").alias("class_at"))
     by_class = groups.join(stands, "component").select("class", "class_id", "class_at")
     by_set = sets.select("set_id", "class", "first_id", "copies").join(degree, "class", "left").join(by_class, "class", "left")
-    of_row = sketches.select("at", "doc_id", "set_id").join(by_set, "set_id", "left")
+    of_row = sketches.select("at", "doc_id", "set_id", *rows.columns[3:]).join(by_set, "set_id", "left")
     some, grouped = F.col("set_id").isNotNull(), F.col("class_at").isNotNull()
     return of_row.select(
         "at",
@@ -266,6 +273,7 @@ def linked_rows(rows: DataFrame) -> DataFrame:
         F.when(some, F.col("first_id")).otherwise(F.col("doc_id")).alias("set_first"),
         (F.coalesce("n_docs", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
+        *rows.columns[3:],
     )
 
 
@@ -282,10 +290,11 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row, of the smallest identifier, of each linked group."""
-    at = fresh(docs, "at")
-    rows = staged(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
-    gone = linked_rows(sources(rows, "doc_id", at).withColumnRenamed(at, "at").select("at", "doc_id", "text")).where("class_at <> at").select(F.col("at").alias(f"{at}_gone"))
-    return rows.join(gone, F.col(at) == F.col(f"{at}_gone"), "left_anti").drop(at)
+    path, row = fresh(docs, "path"), fresh(docs, "row")
+    rows = located(docs, ["*"], path, row)
+    texts = rows.select(F.monotonically_increasing_id().alias("at"), "doc_id", text_of().alias("text"), F.xxhash64(path).alias("file"), F.col(row).alias("row"))
+    gone = linked_rows(texts).where("class_at <> at").select(F.col("file").alias(f"{path}_gone"), F.col("row").alias(f"{row}_gone"))
+    return rows.join(gone, (F.xxhash64(path) == F.col(f"{path}_gone")) & (F.col(row) == F.col(f"{row}_gone")), "left_anti").drop(path, row)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

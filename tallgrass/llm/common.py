@@ -7,8 +7,12 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +40,75 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that are staged inside are deleted at its end, but those staged as ``last``."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for name in made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staging_path(spark: SparkSession, name: str, last: bool = False) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[:-1] if last else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Later steps read the files, so a lost executor costs no recomputation and
     the plan that made them is cut off.
     """
     spark = df.sparkSession
-    path = staging_path(spark, name)
+    path = staging_path(spark, name, last)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame, columns: list, path: str = "path", row: str = "row") -> DataFrame:
+    """``columns`` of ``docs`` with the file of each row and its number there."""
+    importable(docs.sparkSession)
+
+    def place(rows: DataFrame) -> list[Column]:
+        hidden = rows.metadataColumn("_metadata")  # also where a column has that name
+        return [hidden["file_path"].alias(path), hidden["row_index"].alias(row)]
+
+    try:
+        return docs.select(*columns, *place(docs))
+    except AnalysisException:  # not rows of files: these are
+        rows = staged(docs.select(*columns), "rows", last=True)
+        return rows.select("*", *place(rows))
+
+
+#: Bits of a bitmap over keys; as words of 64 bits it has BITS / 64 rows at most, 4 MB.
+BITS = 1 << 24
+
+
+def likely(rows: DataFrame, of: list[str], keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: false where the columns ``of`` are surely not in ``keys``.
+
+    A bitmap of BITS bits over the hashes of the keys, broadcast.  With more keys than
+    bits it only says true more often.
+    """
+    bit = F.pmod(F.xxhash64(*of), F.lit(BITS))
+    word, flag = F.floor(bit / 64), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = keys.groupBy(word.alias(f"{name}_word")).agg(F.bit_or(flag).alias(f"{name}_bits"))
+    joined = rows.join(F.broadcast(words), word == F.col(f"{name}_word"), "left")
+    return joined.withColumn(name, F.coalesce(F.col(f"{name}_bits").bitwiseAND(flag) != 0, F.lit(False))).drop(f"{name}_word", f"{name}_bits")
+
+
 def importable(spark: SparkSession) -> None:
     """Python workers that start from now on find this package where the driver did,
     and get batches of BATCH_ROWS rows unless the session says otherwise."""

@@ -11,7 +11,7 @@
 3. Hits, digests seen more than once, are checked on full bytes: the smallest and the
    largest text of each have to be equal.  Should texts differ, the rows of that digest
    are grouped by the text itself.  Only texts of hits are shuffled: others are left
-   out by a bitmap of SIZE bits over the hits' digests, before the shuffle.
+   out by a bitmap over the hits' digests (:func:`common.likely`), before the shuffle.
 
 With a ``state`` folder the log, the state and the stream's progress stay there, and
 further tables are compared with all that arrived before.  Texts of earlier arrivals
@@ -31,37 +31,19 @@ import uuid
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, importable, staged, staging_path, text_of
+from .common import documents, fresh, likely, located, scratch, staged, staging_path, text_of
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 100_000
-#: Bits of the hits' bitmap; as words of 64 bits it has SIZE / 64 rows at most, 4 MB.
-SIZE = 1 << 24
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def located(docs: DataFrame, columns: list, path: str = "path", row: str = "row") -> DataFrame:
-    """``columns`` of ``docs`` with the file of each row and its number there."""
-    importable(docs.sparkSession)
-
-    def place(rows: DataFrame) -> list[Column]:
-        hidden = rows.metadataColumn("_metadata")  # also where a column has that name
-        return [hidden["file_path"].alias(path), hidden["row_index"].alias(row)]
-
-    try:
-        return docs.select(*columns, *place(docs))
-    except AnalysisException:  # not rows of files: these are
-        rows = staged(docs.select(*columns), "rows")
-        return rows.select("*", *place(rows))
-
-
 def first_seen(log: DataFrame, folder: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """(digest, keep_id, keep_file, keep_row, group_size): the state after the whole log."""
     spark = log.sparkSession
@@ -84,16 +66,13 @@ def first_seen(log: DataFrame, folder: str, files_per_batch: int = FILES_PER_BAT
     return latest.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"), "group_size")
 
 
-def likely(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """``texts`` whose digest may be one of ``hits``: none of these is missed."""
-    bit = lambda: F.pmod(F.xxhash64("digest"), F.lit(SIZE))
-    flag = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest), {SIZE}) % 64 AS INT))")
-    words = hits.groupBy((F.floor(bit() / 64)).alias("word")).agg(F.bit_or(flag).alias("bits"))
-    return texts.withColumn("word", F.floor(bit() / 64)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(flag) != 0).drop("word", "bits")
+def exact_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
+    """(file, row, doc_id, keep_id, group_size, kept, text_sha256) for each row of (doc_id, text, path, row); staged."""
+    with scratch(docs.sparkSession):
+        return staged(_exact_rows(docs, digest, files_per_batch, state), "copies", last=True)
 
 
-def exact_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
-    """(file, row, doc_id, keep_id, group_size, kept, text_sha256) for each row of (doc_id, text, path, row)."""
+def _exact_rows(docs: DataFrame, digest: Callable[[Column], Column], files_per_batch: int, state: str | None) -> DataFrame:
     spark = docs.sparkSession
     folder, arrival = (state or staging_path(spark, "digests")).rstrip("/"), uuid.uuid4().hex
     text = F.col("text")
@@ -115,7 +94,7 @@ def exact_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fil
         paths = [r["path"] for r in files.join(before, "file").select("path").distinct().collect()]  # names of files
         if paths:
             texts = texts.unionByName(located(spark.read.parquet(*map(unquote, paths)), ["doc_id", text_of().alias("text")]))
-    texts = likely(texts.withColumn("digest", digest(text)), hits)
+    texts = likely(texts.withColumn("digest", digest(text)), ["digest"], hits, "hit").where("hit").drop("hit")
     by_bytes = texts.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
     differing = staged(by_bytes.where(F.col("least") != F.col("most")).select("digest").join(hits, "digest", "left_semi"), "differing")
 

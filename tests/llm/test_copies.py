@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallgrass.llm import bayes_join, exact_dedup, repeats
 from tallgrass.llm.anchors import anchors
 from tallgrass.llm.bayes_join import drop_near_copies, least_matches, shingle_sets, similar
+from tallgrass.llm.common import likely
 from tallgrass.llm.components import components
 from tallgrass.llm.exact_dedup import drop_copies, exact_groups
 from tallgrass.llm.ngrams import word_hashes
@@ -129,7 +130,8 @@ def test_only_texts_of_hits_are_compared(table):
     docs = table([(k, f"text {k % 90}") for k in range(100)])
     hashed = docs.withColumn("digest", exact_dedup.sha256(F.col("text")))
     hits = hashed.groupBy("digest").count().where("count > 1").select("digest")
-    assert exact_dedup.likely(hashed, hits).count() == 20 and exact_dedup.likely(hashed, hits.limit(0)).count() == 0
+    found = lambda keys: likely(hashed, ["digest"], keys, "hit").where("hit").count()
+    assert found(hits) == 20 and found(hits.limit(0)) == 0
 
 
 def brute_links(rows):
