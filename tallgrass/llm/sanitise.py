@@ -1,34 +1,36 @@
 r"""Personal data and the terms that reveal it (operator 10).
 
 Base kinds are found by patterns and checks (octets up to 255, Luhn, digit
-counts).  The method then protects what the patterns cannot see: a term next to a
-protected value discloses it when knowing the term leaves little doubt about the
+counts).  The method then protects what the patterns cannot see: a term discloses a
+protected value when knowing the term leaves little doubt about the
 value.  With document frequencies over the whole corpus, for value c and term t,
 
-    PMI(c; t) = log(N n(c,t) / (n(c) n(t)))   and   IC(c) = log(N / n(c));
+    PMI(c; t) = log(P(c|t) / P(c)),  P(c|t) = (n(c,t) + PRIOR P(c)) / (n(t) + PRIOR),
+    IC(c) = log(1 / P(c)),           P(c) = n(c) / N;
 
-t discloses c when PMI(c; t) >= DISCLOSURE * IC(c), and c and t were seen
-together in MIN_TOGETHER documents.  Such terms are spans of kind ``term``; in
-``sanitised`` texts base spans are generalised to their kind and terms removed.
-n(c,t) counts documents in which t is a word of four letters or more within
-``CONTEXT`` characters of c, so the work is linear in the number of values found.
-This is what ``find`` and its SQL report.
+t discloses c when PMI(c; t) >= DISCLOSURE * IC(c).  Terms are words of four letters or
+more; n(c,t) counts the documents that hold both, however far apart.  Values are
+nearly unique, so no count of support is asked for: the prior draws rare pairs towards
+independence but rules none out.  A value of all documents has no IC to disclose.
+Every occurrence of a term in a document that holds a value it discloses is a span of
+kind ``term``.  In ``sanitised`` texts base spans are generalised to their kind and
+terms removed.
 
-Values are nearly unique, so few are ever seen in MIN_TOGETHER documents.
-``sanitised`` (the pipeline's stage, which no SQL describes) therefore asks for no
-count of support: it takes P(c|t) = (n(c,t) + PRIOR P(c)) / (n(t) + PRIOR) for the
-plain n(c,t) / n(t) in PMI.  Rare pairs are drawn towards independence but none is
-ruled out.  A value of all documents has no IC to disclose.  There n(c,t) counts all
-documents that hold both, however far apart, and every occurrence of a term that
-discloses a value is removed from the documents that hold the value.
+The condition bounds n(t) by n(c): the words of documents with values are joined with
+n(t) first, and only terms rare enough for one of their document's values go on.  Where
+a value occurs in one document, n(c,t) is 1 and no pair is made; pairs are made and
+counted for values of several documents only.
 
 Only DataFrame functions are used.  One pass stages each row's matches with the
-lengths of the text between them and a bounded context, for ``sanitised`` also the
-words of rows with matches; positions are running sums over these.
+lengths of the text between them, and the words of rows with matches; positions are
+running sums over these.
 
 Rows: null text counts as empty and has no spans; repeated rows are each
 reported and each count in the frequencies; an empty table gives an empty
-result; other columns are not read.  Offsets are code points, end exclusive.
+result; other columns are not read, and ``sanitised`` returns them unchanged, whatever
+their names.  A very long text is cut into words like any other, in linear time.
+Offsets are code points, end exclusive; of spans that start together the shorter is
+told first.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, importable, staged, text_of
+from .common import documents, fresh, importable, likely, located, scratch, staged, text_of
 
 #: kind: (pattern, cheap test that a match needs).  Possessive forms match the
 #: same strings as the plain ones; the look-behinds name places where no match
@@ -49,9 +51,7 @@ KINDS = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
 }
 TERM = r"\p{L}{4,}"
-CONTEXT = 64
 DISCLOSURE = 0.9
-MIN_TOGETHER = 3
 #: The weight of P(c) in P(c|t), in documents (Jeffreys' for a yes or no).
 PRIOR = 0.5
 
@@ -77,105 +77,68 @@ def _valid(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lit(True)).when(kind == "ip", octets).when(kind == "card", card).otherwise(n.between(9, 15))
 
 
-def found(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """Staged: a row for each document with its unchecked matches.
+def found(rows: DataFrame) -> DataFrame:
+    """Staged: for each of ``rows`` (..., text) a number ``at``, the other columns, its
+    unchecked matches and its words.
 
-    (at, doc_id, digest, hits); a hit has its kind, number within the kind, the
-    length of the text since the previous one of its kind, its value, and what
-    stands before and after it.  With ``whole`` also words: each word of a row with
-    matches, and the length of the text since the previous one; else null.
+    A hit has its kind, number within the kind, the length of the text since the previous
+    one of its kind, and its value; ``words`` has each word of a row with matches and
+    the length of the text since the previous one, else it is null.
     """
-    importable(docs.sparkSession)
-    rows = docs.select("doc_id", text_of().alias("text"))
-    split = rows.select("doc_id", "text", *(F.when(F.col("text").rlike(test), F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"{k}_hits") for k, (p, test) in KINDS.items()), *(F.when(F.col("text").rlike(test), F.split("text", p, -1)).alias(f"{k}_gaps") for k, (p, test) in KINDS.items()))
+    others = [c for c in rows.columns if c != "text"]
+    text = F.col("text")
+    split = rows.select("*", *(F.when(text.rlike(test), F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(f"{k}_hits") for k, (p, test) in KINDS.items()), *(F.when(text.rlike(test), F.split("text", p, -1)).alias(f"{k}_gaps") for k, (p, test) in KINDS.items()))
 
     def hits(k: str) -> Column:
-        before, after = (lambda i: F.get(f"{k}_gaps", i)), (lambda i: F.get(f"{k}_gaps", i + 1))
-        clipped = lambda s, part, edge: F.when(F.length(s) > CONTEXT, F.regexp_replace(part, edge, "")).otherwise(part)
-        return F.coalesce(
-            F.transform(
-                f"{k}_hits",
-                lambda v, i: F.struct(
-                    F.lit(k).alias("kind"),
-                    i.alias("nth"),
-                    F.length(before(i)).alias("gap"),
-                    v.alias("value"),
-                    clipped(before(i), F.right(before(i), F.lit(CONTEXT)), r"^\p{L}+").alias("before"),
-                    clipped(after(i), F.left(after(i), F.lit(CONTEXT)), r"\p{L}+$").alias("after"),
-                ),
-            ),
-            F.array().cast("array<struct<kind:string,nth:int,gap:int,value:string,before:string,after:string>>"),
-        )
-
-    all_hits = split.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.concat(*(hits(k) for k in KINDS)).alias("hits"), *(["text"] if whole else []))
-    if whole:
-        # two steps, so that only rows with matches are cut into words
-        word = F.arrays_zip(F.transform(F.split("text", TERM, -1), F.length).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"))
-        all_hits = all_hits.withColumn("words", F.when(F.size("hits") > 0, word)).drop("text")
-    return staged(all_hits, "hits")
+        each = F.transform(f"{k}_hits", lambda v, i: F.struct(F.lit(k).alias("kind"), i.alias("nth"), F.length(F.get(f"{k}_gaps", i)).alias("gap"), v.alias("value")))
+        return F.coalesce(each, F.array().cast("array<struct<kind:string,nth:int,gap:int,value:string>>"))
+
+    all_hits = split.select(F.monotonically_increasing_id().alias("at"), *others, "text", F.concat(*(hits(k) for k in KINDS)).alias("hits"))
+    # two steps, so that only rows with matches are cut into words
+    word = F.arrays_zip(F.transform(F.split("text", TERM, -1), F.length).alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"))
+    return staged(all_hits.withColumn("words", F.when(F.size("hits") > 0, word)).drop("text"), "hits")
 
 
 def base_spans(hits: DataFrame) -> DataFrame:
-    """(at, kind, start, end, value, entity, before, after) of the valid matches."""
+    """(at, kind, start, end, value, entity) of the valid matches."""
     each = hits.select("at", F.explode("hits").alias("h")).select("at", "h.*")
     upto = Window.partitionBy("at", "kind").orderBy("nth")
     end = F.sum(F.col("gap") + F.length("value")).over(upto)
     placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
     entity = F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(F.lower("value")))
-    return placed.where(_valid(F.col("kind"), F.col("value"))).select("at", "kind", "start", "end", "value", entity.alias("entity"), "before", "after")
-
-
-def context_terms(spans: DataFrame) -> DataFrame:
-    """(at, entity, term, start, end): the words beside each base span."""
-    sides = spans.select("at", "entity", F.explode(F.array(F.struct(F.col("before").alias("side"), (F.col("start") - F.length("before")).alias("from")), F.struct(F.col("after").alias("side"), F.col("end").alias("from")))).alias("s")).select("at", "entity", "s.*")
-    # a word cut off at the context's far edge was taken away; before the value, that shifts nothing as offsets count from the value
-    parts = sides.where(F.col("side") != "").select("at", "entity", "from", F.regexp_extract_all("side", F.lit(TERM), F.lit(0)).alias("words"), F.split("side", TERM, -1).alias("gaps"))
-    length = lambda column, n: F.aggregate(F.slice(column, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    each = parts.select("at", "entity", "from", "words", "gaps", F.posexplode("words").alias("i", "word"))
-    start = F.col("from") + length("gaps", F.col("i") + 1) + length("words", F.col("i"))
-    return each.select("at", "entity", F.lower("word").alias("term"), start.alias("start"), (start + F.length("word")).alias("end"))
-
-
-def whole_terms(hits: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(at, entity, term) of all words in the documents that hold a value, and the words' places (at, term, start, end)."""
-    held = hits.join(spans.select("at").distinct(), "at", "left_semi")
-    distinct = held.select("at", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["word"])))).alias("term")).where("term IS NOT NULL")
-    each = held.select("at", F.posexplode("words").alias("i", "w")).select("at", "i", "w.*").where("word IS NOT NULL")
+    return placed.where(_valid(F.col("kind"), F.col("value"))).select("at", "kind", "start", "end", "value", entity.alias("entity"))
+
+
+def disclosing(docs: DataFrame, hits: DataFrame, spans: DataFrame, n_docs: int) -> DataFrame:
+    """Staged: (at, term) of the terms that disclose a value of their document."""
+    held = spans.select("at", "entity").distinct()
+    of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") < n_docs)
+    held = staged(held.join(of_entity, "entity"), "values")
+    p_c = F.col("n_c") / F.lit(max(n_docs, 1))
+    rarity = F.pow(p_c, F.lit(1 - DISCLOSURE))
+    # as n(c,t) is n(c) at most; a little more, for the rounding
+    limits = held.groupBy("at").agg(F.max((F.col("n_c") + PRIOR * p_c) / rarity * (1 + 1e-9)).alias("limit"), F.min("n_c").alias("least"))
+    words = hits.join(limits, "at").select("at", "limit", "least", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w["word"])))).alias("term")).where("term IS NOT NULL")
+    all_words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text_of(), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    of_term = all_words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    rare = staged(words.join(of_term, "term").where(F.col("n_t") + PRIOR <= F.col("limit")), "rare")
+    reached = lambda n_ct: n_ct + PRIOR * p_c >= (F.col("n_t") + PRIOR) * rarity
+    alone = rare.where("least = 1").withColumn("n_c", F.lit(1)).where(reached(F.lit(1))).select("at", "term")
+    pairs = rare.select("at", "term", "n_t").join(held.where("n_c > 1"), "at")
+    risky = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct")).where(reached(F.col("n_ct"))).select("entity", "term")
+    return staged(alone.union(pairs.join(risky, ["entity", "term"]).select("at", "term")).distinct(), "disclosing")
+
+
+def all_spans(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The staged matches of ``rows`` (see :func:`found`), which are ``docs``; (at, kind, start, end) of base and term spans."""
+    hits = found(rows)
+    spans = staged(base_spans(hits), "spans")
+    revealing = disclosing(docs, hits, spans, hits.count())
+    each = hits.join(revealing.select("at").distinct(), "at", "left_semi").select("at", F.posexplode("words").alias("i", "w")).select("at", "i", "w.*").where("word IS NOT NULL")
     end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("at").orderBy("i"))
     places = each.select("at", F.lower("word").alias("term"), (end - F.length("word")).alias("start"), end.alias("end"))
-    return spans.select("at", "entity").distinct().join(distinct, "at"), places
-
-
-def disclosing(docs: DataFrame, spans: DataFrame, terms: DataFrame, n_docs: int, smoothed: bool = False) -> DataFrame:
-    """(entity, term): the terms that disclose a protected value."""
-    seen = terms if smoothed else terms.select("at", "entity", "term").distinct()
-    together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    of_entity = spans.select("at", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    all_words = F.transform(F.regexp_extract_all(text_of(), F.lit(TERM), F.lit(0)), F.lower) if smoothed else F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0))
-    words = docs.select(F.explode(F.array_distinct(all_words)).alias("term"))
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    if not smoothed:
-        joined = together.where(F.col("n_ct") >= MIN_TOGETHER).join(of_entity, "entity").join(of_term, "term")
-        return joined.where(F.col("n_ct") * F.pow(F.lit(n_docs) / F.col("n_c"), F.lit(1 - DISCLOSURE)) >= F.col("n_t")).select("entity", "term")
-    p_c = F.col("n_c") / F.lit(n_docs)
-    joined = together.join(of_entity.where(F.col("n_c") < n_docs), "entity").join(of_term, "term")
-    return joined.where(F.col("n_ct") + PRIOR * p_c >= (F.col("n_t") + PRIOR) * F.pow(p_c, F.lit(1 - DISCLOSURE))).select("entity", "term")
-
-
-def all_spans(docs: DataFrame, smoothed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The staged matches, and (at, kind, start, end) of base and term spans."""
-    hits = found(docs, whole=smoothed)
-    spans = staged(base_spans(hits), "spans")
-    if smoothed:
-        terms, places = whole_terms(hits, spans)
-        risky = staged(disclosing(docs, spans, terms, hits.count(), smoothed), "disclosing")
-        here = terms.join(risky, ["entity", "term"]).select("at", "term").distinct()
-        revealing = places.join(here, ["at", "term"]).select("at", F.lit("term").alias("kind"), "start", "end")
-    else:
-        terms = context_terms(spans)
-        risky = staged(disclosing(docs, spans, terms, hits.count()), "disclosing")
-        revealing = terms.join(risky, ["entity", "term"]).select("at", F.lit("term").alias("kind"), "start", "end").distinct()
-    return hits, spans.select("at", "kind", "start", "end").unionByName(revealing)
+    terms = places.join(revealing, ["at", "term"]).select("at", F.lit("term").alias("kind"), "start", "end")
+    return hits, spans.select("at", "kind", "start", "end").unionByName(terms)
 
 
 def _joined(kinds: list[str]) -> Column:
@@ -186,39 +149,52 @@ def _joined(kinds: list[str]) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts, digest of the base spans and all spans, for each row."""
-    hits, spans = all_spans(docs)
-    kinds = [*KINDS, "term"]
-    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    by_row = spans.groupBy("at").agg(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind")).alias("all"))
-    rows = hits.select("at", "doc_id").join(by_row, "at", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<place:int,start:bigint,end:bigint,kind:string>>")))
-    count = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *map(count, KINDS), F.sha2(_joined(list(KINDS)).cast("binary"), 256).alias("base_sha256"), _joined(kinds).alias("spans"))
+    """Staged: counts, digest of the base spans and all spans, for each row."""
+    importable(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        hits, spans = all_spans(docs, docs.select("doc_id", text_of().alias("text")))
+        kinds = [*KINDS, "term"]
+        place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+        by_row = spans.groupBy("at").agg(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind")).alias("all"))
+        rows = hits.select("at", "doc_id").join(by_row, "at", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<place:int,start:bigint,end:bigint,kind:string>>")))
+        count = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+        return staged(rows.select("doc_id", *map(count, KINDS), F.sha2(_joined(list(KINDS)).cast("binary"), 256).alias("base_sha256"), _joined(kinds).alias("spans")), "personal-data", last=True)
+
+
+def cuts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Staged: (file, row, cuts) of the rows with spans; overlapping spans become one,
+    named after the first base span."""
+    with scratch(docs.sparkSession):
+        hits, spans = all_spans(docs, rows)
+        ordered = Window.partitionBy("at").orderBy("start", "end", "kind")
+        reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+        runs = spans.withColumn("run", F.sum(F.when(F.coalesce(reach, F.lit(-1)) <= F.col("start"), 1).otherwise(0)).over(ordered))
+        merged = runs.groupBy("at", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct(F.col("kind") == "term", "start", "end", "kind")).alias("kind"))
+        by_row = merged.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+        return staged(hits.select("at", "file", "row").join(by_row, "at").drop("at"), "cuts", last=True)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with base spans as <KIND>, disclosing terms removed, n_chars set anew.
 
-    Overlapping spans become one, named after the first base span.
+    Only texts with spans are shuffled to their cuts, as far as a bitmap tells them apart.
     """
     names = docs.columns
-    hits, spans = all_spans(docs, smoothed=True)
-    ordered = Window.partitionBy("at").orderBy("start", "end", "kind")
-    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("run", F.sum(F.when(F.coalesce(reach, F.lit(-1)) <= F.col("start"), 1).otherwise(0)).over(ordered))
-    merged = runs.groupBy("at", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct(F.col("kind") == "term", "start", "end", "kind")).alias("kind"))
-    cuts = merged.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
-    of_text = hits.select("at", F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).join(cuts, "at").dropDuplicates(["__id", "__digest"]).drop("at")
-    marked = docs.withColumn("__now", F.md5(text_of().cast("binary")))
-    joined = marked.join(of_text, marked["doc_id"].eqNullSafe(of_text["__id"]) & (marked["__now"] == of_text["__digest"]), "left")
+    path, row, cut, may = (fresh(docs, c) for c in ("path", "row", "cuts", "may"))
+    rows = located(docs, ["*"], path, row)
+    file = F.xxhash64(path)
+    of_row = cuts(rows, rows.select(text_of().alias("text"), file.alias("file"), F.col(row).alias("row"))).select(F.col("file").alias(f"{path}_file"), F.col("row").alias(f"{row}_row"), F.col("cuts").alias(cut))
+    keys = of_row.select(F.col(f"{path}_file").alias(f"{path}_hash"), F.col(f"{row}_row").alias(row))
+    marked = likely(rows.withColumn(f"{path}_hash", file), [f"{path}_hash", row], keys, may)
+    joined = marked.where(may).join(of_row, (F.col(f"{path}_hash") == F.col(f"{path}_file")) & (F.col(row) == F.col(f"{row}_row")), "left")
     mark = lambda k: F.when(k == "term", "").otherwise(F.concat(F.lit("<"), F.upper(k), F.lit(">")))
-    piece = lambda c, i: F.concat(F.substring("text", F.coalesce(F.get("__cuts", i - 1)["end"], F.lit(0)).cast("int") + 1, (c["start"] - F.coalesce(F.get("__cuts", i - 1)["end"], F.lit(0))).cast("int")), mark(c["kind"]))
-    last = F.element_at("__cuts", -1)["end"].cast("int")
-    clean = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("__cuts", piece), ""), F.substring(F.col("text"), last + 1, F.length("text"))))
+    piece = lambda c, i: F.concat(F.substring("text", F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)).cast("int") + 1, (c["start"] - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))).cast("int")), mark(c["kind"]))
+    last = F.element_at(cut, -1)["end"].cast("int")
+    clean = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(cut, piece), ""), F.substring(F.col("text"), last + 1, F.length("text"))))
     out = joined.withColumn("text", clean)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*names).unionByName(marked.where(~F.col(may)).select(*names))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +216,7 @@ def _sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 raw AS ({raw}),
 e AS (SELECT *, unnest(hits) AS v, unnest(range(1, len(hits) + 1)) AS i FROM raw),
-p AS (SELECT doc_id, t, kind, place, v, gaps[i] AS g0, gaps[i + 1] AS g1, regexp_replace(v, '[^0-9]', '', 'g') AS n,
+p AS (SELECT doc_id, t, kind, place, v, regexp_replace(v, '[^0-9]', '', 'g') AS n,
   CAST({total("gaps", "i")} + {total("hits", "i - 1")} AS BIGINT) AS s FROM e),
 s AS (SELECT *, s + length(v) AS f, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN n ELSE lower(v) END AS entity FROM p
   WHERE CASE kind WHEN 'email' THEN true
@@ -248,16 +224,17 @@ s AS (SELECT *, s + length(v) AS f, kind || ':' || CASE WHEN kind IN ('card', 'p
     WHEN 'card' THEN length(n) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda k: CASE WHEN (length(n) - k) % 2 = 0 THEN CAST(n[k] AS INT)
       ELSE CAST(n[k] AS INT) * 2 - CASE WHEN CAST(n[k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
     ELSE length(n) BETWEEN 9 AND 15 END),
-c AS (SELECT doc_id, entity, CASE WHEN length(g0) > {CONTEXT} THEN regexp_replace(right(g0, {CONTEXT}), '^\p{{L}}+', '') ELSE g0 END AS side, s AS pos, true AS ahead FROM s
-  UNION ALL SELECT doc_id, entity, CASE WHEN length(g1) > {CONTEXT} THEN regexp_replace(left(g1, {CONTEXT}), '\p{{L}}+$', '') ELSE g1 END, f, false FROM s),
-w AS (SELECT doc_id, entity, CASE WHEN ahead THEN pos - length(side) ELSE pos END AS pos, regexp_extract_all(side, '\p{{L}}{{4,}}') AS words, string_split_regex(side, '\p{{L}}{{4,}}') AS gaps FROM c),
-x AS (SELECT *, unnest(words) AS v, unnest(range(1, len(words) + 1)) AS i FROM w),
-term AS (SELECT doc_id, entity, lower(v) AS term, CAST(pos + {total("gaps", "i")} + {total("words", "i - 1")} AS BIGINT) AS s, length(v) AS n FROM x),
-ct AS (SELECT entity, term, count(DISTINCT doc_id) AS n_ct FROM term GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_TOGETHER}),
-nc AS (SELECT entity, count(DISTINCT doc_id) AS n_c FROM s GROUP BY ALL),
-nt AS (SELECT term, count(DISTINCT doc_id) AS n_t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}{{4,}}')) AS term FROM d) GROUP BY ALL),
-risky AS (SELECT entity, term FROM ct JOIN nc USING (entity) JOIN nt USING (term) WHERE n_ct * pow((SELECT count(*) FROM d) / n_c, {1 - DISCLOSURE!r}) >= n_t),
-spans AS (SELECT doc_id, kind, place, s, f FROM s UNION ALL SELECT DISTINCT doc_id, 'term', 5, s, s + n FROM term JOIN risky USING (entity, term)),
+held AS (SELECT DISTINCT doc_id, entity FROM s),
+w AS (SELECT doc_id, regexp_extract_all(t, '\p{{L}}{{4,}}') AS words, string_split_regex(t, '\p{{L}}{{4,}}') AS gaps FROM d WHERE doc_id IN (SELECT doc_id FROM s)),
+x AS (SELECT doc_id, unnest(words) AS v, unnest(gaps[1:len(words)]) AS g, unnest(range(1, len(words) + 1)) AS i FROM w),
+term AS (SELECT doc_id, lower(v) AS term, CAST(sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(v) AS s, length(v) AS n FROM x),
+own AS (SELECT DISTINCT doc_id, term FROM term),
+ct AS (SELECT entity, term, count(*) AS n_ct FROM held JOIN own USING (doc_id) GROUP BY ALL),
+nc AS (SELECT entity, count(*) AS n_c, count(*) / (SELECT count(*) FROM d) AS p_c FROM held GROUP BY ALL HAVING count(*) < (SELECT count(*) FROM d)),
+nt AS (SELECT term, count(DISTINCT doc_id) AS n_t FROM (SELECT doc_id, lower(unnest(regexp_extract_all(t, '\p{{L}}{{4,}}'))) AS term FROM d) GROUP BY ALL),
+risky AS (SELECT entity, term FROM ct JOIN nc USING (entity) JOIN nt USING (term) WHERE n_ct + {PRIOR} * p_c >= (n_t + {PRIOR}) * pow(p_c, {1 - DISCLOSURE!r})),
+here AS (SELECT DISTINCT doc_id, term FROM held JOIN own USING (doc_id) JOIN risky USING (entity, term)),
+spans AS (SELECT doc_id, kind, place, s, f FROM s UNION ALL SELECT doc_id, 'term', 5, s, s + n FROM term JOIN here USING (doc_id, term)),
 o AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
   string_agg(kind || ':' || s || ':' || f, ',' ORDER BY place, s) FILTER (place < 5) AS base, string_agg(kind || ':' || s || ':' || f, ',' ORDER BY place, s, f) AS spans FROM spans GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(n_card, 0) AS BIGINT) AS n_card,
