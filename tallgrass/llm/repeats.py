@@ -6,21 +6,23 @@ own or another text.
 1. Texts that are equal as a whole are one text here: each of them goes as a whole
    if it has LENGTH bytes.  All else is found on one of each.
 2. Equal strings have equal anchors (:mod:`anchors`), so they meet in the group of
-   an anchor's hash, aligned at the anchor.  Occurrences whose whole windows are
-   equal are told by a hash of the window; one of them takes part for all.
-3. Each group's windows are indexed by their positional Burrows-Wheeler transform:
-   at every column, from the last to the first, the windows are in the order of
-   what follows.  The transform's bytes form runs.  Inside a run, a window's match
-   with the one before it in the order is the match of the column behind plus one;
-   only at run ends is it sampled anew, as the least match in between.  Streaming
-   the columns thus gives the matching statistics of every start: the longer of
-   the matches with the windows beside it.  Starts that reach LENGTH are marked.
-   Many groups are indexed in one batch; groups of more than BLOCK windows are
-   compared block against block, in tasks of their own.
-4. Marked ranges return to all texts with that window and are united there.
-
-Hashes are of 64 bits (anchors, windows: 128 together) and of 256 bits (texts); a
-marked start is a true repetition unless two of them collide.
+   an anchor's hash, aligned at the anchor.  Of windows that are equal as a whole, told
+   by a hash, two take part for all.
+3. Each group's windows are indexed by a run-compressed positional Burrows-Wheeler
+   transform (:class:`RunIndex`): at every column, from the last to the first, the
+   transform's bytes are stored as runs, each with its place in the next column's order
+   and, sampled at its two ends, the match there with the neighbour.  Windows are then
+   streamed through the runs: a window's place follows from its run, inside a run its
+   matches with both neighbours grow by one, at run ends they are the samples.  These
+   are the matching statistics of every start; starts that reach LENGTH are marked.
+   Many groups are indexed in one batch.
+4. Groups of more than BLOCK windows would need one large index.  Their windows send a
+   hash of each of their at most LENGTH - GRAM + 1 strings instead; strings that are
+   sent twice are marked.  So the work is linear in the number of windows.
+5. Marked ranges return to all texts with that window and are united there.
+
+Hashes are of 64 bits (anchors, windows and strings: 128 together) and of 256 bits
+(texts); a marked start is a true repetition unless two of them collide.
 
 Rows: null text counts as empty; texts below LENGTH bytes stay whole; repeated rows
 are repetitions of each other; an empty table gives an empty result; other columns
@@ -39,7 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, LENGTH, anchors
-from .common import documents, sources, staged
+from .common import documents, scratch, sources, staged
+from .ngrams import _BACK, _BASE, _BYTE, _powers, mix
 
 SIDE = LENGTH - GRAM
 BLOCK = 256
@@ -60,45 +63,85 @@ def range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
     return out
 
 
-def matching(sides: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For windows without their gram (symbols, row by row) and their groups: which
-    starts, SIDE columns before the gram or at it, match another window of the
-    group for LENGTH symbols or more."""
-    n = len(sides)
-    order = np.argsort(group, kind="stable")
-    match = np.zeros(n, np.int64)  # with the window before it in the order
-    fresh = np.append(True, group[order][1:] != group[order][:-1])
-    out = np.zeros((n, SIDE + 1), bool)
-    for column in range(2 * SIDE - 1, -2, -1):
-        if column == SIDE - 1 or (column == -1 and SIDE == 0):
-            match = np.where(fresh, 0, match + GRAM)  # the gram is the same for all
-        if column < SIDE:
-            start = column + 1  # what lies from here on is in order now
-            long = match >= LENGTH
-            out[order[long], start] = True
-            out[order[np.flatnonzero(long) - 1], start] = True
-        if column < 0:
-            break
-        symbol = sides[order, column]
-        run = np.append(True, (symbol[1:] != symbol[:-1]) | fresh[1:])
-        if run.sum() == fresh.sum():  # one run in every group: the order stays
-            match = np.where(fresh, 0, match + 1)
-            continue
-        own_group = np.cumsum(fresh)
-        to = np.argsort(own_group * (1 << 33) + symbol, kind="stable")
-        before = np.append(0, to[:-1])
-        same = np.append(False, (symbol[to][1:] == symbol[to][:-1]) & (own_group[to][1:] == own_group[to][:-1]))
-        inside = same & (to == before + 1)
-        moved = np.zeros(n, np.int64)
-        moved[inside] = match[to[inside]] + 1
-        ends = np.flatnonzero(same & ~inside)
-        if len(ends):
-            moved[ends] = range_minima(match, before[ends] + 1, to[ends]) + 1
-        order, match = order[to], moved
-        fresh = np.append(True, own_group[to][1:] != own_group[to][:-1])
+class RunIndex:
+    """Positional Burrows-Wheeler transform of grouped windows, in runs.
+
+    ``sides``: the windows without their gram, symbols row by row.  For each column from
+    the last to the first: first place, length, next place, and match with the window
+    before the run and behind it in the next order.  A group keeps its range of places.
+    """
+
+    def __init__(self, sides: np.ndarray, group: np.ndarray):
+        n = len(sides)
+        order = np.argsort(group, kind="stable")
+        self.first = order
+        fresh = np.append(True, group[order][1:] != group[order][:-1])
+        self.head, self.tail = fresh, np.append(fresh[1:], True)
+        own_group, match = np.cumsum(fresh), np.zeros(n, np.int64)  # match: with the window before
+        self.columns = []
+        for column in range(2 * SIDE - 1, -1, -1):
+            if column == SIDE - 1:
+                match = np.where(fresh, 0, match + GRAM)  # the gram is the same for all
+            symbol = sides[order, column]
+            run = np.append(True, (symbol[1:] != symbol[:-1]) | fresh[1:])
+            start = np.flatnonzero(run)
+            length = np.diff(np.append(start, n))
+            by = np.lexsort((symbol[start], own_group[start]))
+            to = np.empty(len(start), np.int64)
+            to[by] = np.cumsum(length[by]) - length[by]
+            before, after = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+            same = np.flatnonzero((symbol[start[by]][1:] == symbol[start[by]][:-1]) & (own_group[start[by]][1:] == own_group[start[by]][:-1])) + 1
+            if len(same):
+                ends = start[by[same - 1]] + length[by[same - 1]]
+                before[by[same]] = range_minima(match, ends, start[by[same]]) + 1
+                after[by[same - 1]] = before[by[same]]
+            self.columns.append((start, length, to, before, after))
+            place = np.repeat(to - start, length) + np.arange(n)
+            order, match = _put(order, place), _put(np.where(run, np.repeat(before, length), match + 1), place)
+
+    def marks(self) -> np.ndarray:
+        """Which starts, SIDE columns before the gram or at it, match another window of
+        the group for LENGTH symbols or more, by the windows' matching statistics."""
+        n = len(self.first)
+        place, before, after = np.empty(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place[self.first] = np.arange(n)
+        out = np.zeros((n, SIDE + 1), bool)
+
+        def gram():
+            before[~self.head[place]] += GRAM
+            after[~self.tail[place]] += GRAM
+            out[:, SIDE] = np.maximum(before, after) >= LENGTH
+
+        for column, (start, length, to, head, tail) in zip(range(2 * SIDE - 1, -1, -1), self.columns, strict=True):
+            if column == SIDE - 1:
+                gram()
+            run = np.searchsorted(start, place, side="right") - 1
+            within = place - start[run]
+            before = np.where(within == 0, head[run], before + 1)
+            after = np.where(within == length[run] - 1, tail[run], after + 1)
+            place = to[run] + within
+            if column < SIDE:
+                out[:, column] = np.maximum(before, after) >= LENGTH
+        if not SIDE:
+            gram()
+        return out
+
+
+def _put(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[place] = values
     return out
 
 
+def string_hashes(data: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and hashes of all LENGTH-byte strings in a window whose gram begins at ``before``."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
+    at = np.arange(max(0, before - SIDE), min(before, n - LENGTH) + 1)
+    return at - before + SIDE, mix((total[at + LENGTH] - total[at]) * _powers(_BACK, n + 1)[at]).view(np.int64)
+
+
 def ranges(marks: np.ndarray) -> np.ndarray:
     """(first, last) of the runs of True."""
     edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
@@ -152,60 +195,65 @@ def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = staged(anchored.select("at", "doc_id", "digest", "a.*"), "anchor-rows")
     windows = rows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "doc_id", "digest", "pos", "before", "after")).alias("first"))
     windows = staged(windows, "windows")
-    groups = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("n_windows")).where("n_windows > 1")
-    # windows that occur once and meet others, and one of each that occur more often
-    n_blocks = F.ceil(F.col("n_windows") / BLOCK).cast("int")
-    wanted = windows.join(groups, "gram").select("first.doc_id", "first.digest", F.struct("gram", "window", F.col("first.pos").alias("pos"), F.col("first.before").alias("before"), F.col("first.after").alias("after"), (F.col("n") > 1).alias("known"), n_blocks.alias("n_blocks"), F.pmod(F.col("window"), n_blocks).cast("int").alias("block")).alias("w"))
+    groups = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_places")).where("n_places > 1")
+    hot = F.col("n_windows") > BLOCK
+    wanted = windows.join(groups, "gram").select("first.doc_id", "first.digest", F.struct("gram", "window", F.col("first.pos").alias("pos"), F.col("first.before").alias("before"), F.col("first.after").alias("after"), (F.col("n") > 1).alias("twice"), hot.alias("hot")).alias("w"))
     by_text = wanted.groupBy("doc_id", "digest").agg(F.collect_list("w").alias("wanted"))
     texts = with_texts(by_text, docs).select("wanted", "packed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a repeated row brings its windows twice: they are repetitions
-        codec = zstandard.ZstdDecompressor()
+        codec, out = zstandard.ZstdDecompressor(), []
         for batch in batches:
             for wanted, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, out = codec.decompress(packed), []
+                raw = codec.decompress(packed)
                 for w in wanted:
-                    left = raw[w["pos"] - w["before"] : w["pos"]]
-                    right = raw[w["pos"] + GRAM : w["pos"] + w["after"]]
-                    for other in range(w["n_blocks"]):
-                        out.append((w["gram"], min(w["block"], other), max(w["block"], other), w["window"], w["known"], left, right))
+                    first, last = w["pos"] - w["before"], w["pos"] + w["after"]
+                    if w["hot"]:
+                        column, value = string_hashes(np.frombuffer(raw, np.uint8)[first:last], w["before"])
+                        out += [(w["gram"], w["window"], c, h, w["twice"], None, None) for c, h in zip(column.tolist(), value.tolist(), strict=True)]
+                    else:
+                        out += [(w["gram"], w["window"], -1, 0, False, raw[first : w["pos"]], raw[w["pos"] + GRAM : last])] * (2 if w["twice"] else 1)
                     if len(out) >= 2000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(WINDOW.names, o, strict=True)) for o in out], WINDOW)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WINDOW, strict=True)], schema=WINDOW)
                         out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(WINDOW.names, o, strict=True)) for o in out], WINDOW)
-
-    dealt = texts.mapInArrow(cut, "gram long, a int, b int, window long, known boolean, left binary, right binary").repartition("gram", "a", "b").sortWithinPartitions("gram", "a", "b")
-    indexed = dealt.mapInArrow(index, "gram long, window long, first int, last int")
-    whole = windows.where("n > 1").select("gram", "window", F.lit(0).alias("first"), F.lit(SIDE).alias("last"))
-    marks = rows.select("gram", "window", "at", "pos", "before", "after").join(staged(indexed.unionByName(whole), "marks"), ["gram", "window"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WINDOW, strict=True)], schema=WINDOW)
+
+    pieces = staged(texts.mapInArrow(cut, "gram long, window long, column int, value long, twice boolean, left binary, right binary"), "window-strings")
+    small = pieces.where("column < 0").select("gram", "window", "left", "right").repartition("gram").sortWithinPartitions("gram")
+    indexed = small.mapInArrow(index, "gram long, window long, first int, last int").distinct()
+    strings = pieces.where("column >= 0").select("gram", "window", "column", "value", "twice")
+    again = strings.groupBy("gram", "column", "value").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("some")).where("n > 1 OR some").select("gram", "column", "value")
+    columns = strings.join(again, ["gram", "column", "value"]).groupBy("gram", "window").agg(F.sort_array(F.collect_set("column")).alias("c"))
+    apart = lambda x, i, step: ~F.coalesce(F.get("c", i + step) == x + step, F.lit(False))
+    ends = columns.select("gram", "window", F.filter("c", lambda x, i: apart(x, i, -1)).alias("first"), F.filter("c", lambda x, i: apart(x, i, 1)).alias("last"))
+    edges = ends.select("gram", "window", F.explode(F.arrays_zip("first", "last")).alias("e")).select("gram", "window", "e.first", "e.last")
+    marks = rows.select("gram", "window", "at", "pos", "before", "after").join(staged(indexed.unionByName(edges), "marks"), ["gram", "window"])
     # a window that occurs again counts from end to end
     return marks.select("at", (F.col("pos") - F.least(F.col("before"), SIDE - F.col("first"))).alias("from"), (F.col("pos") + F.least(F.col("after"), GRAM + F.col("last"))).alias("to"))
 
 
-WINDOW = pa.schema([("gram", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("window", pa.int64()), ("known", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+WINDOW = pa.schema([("gram", pa.int64()), ("window", pa.int64()), ("column", pa.int32()), ("value", pa.int64()), ("twice", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
 
 def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marked starts of the windows of whole groups, BATCH windows or a group at a time."""
+    """Marked starts of the windows of whole groups, about BATCH windows at a time."""
     held, size = [], 0
 
     def flush(table: pa.Table):
         n = table.num_rows
         if not n:
             return
-        key = np.stack([table.column(c).to_numpy() for c in ("gram", "a", "b")], 1)
-        group = np.cumsum(np.append(0, (key[1:] != key[:-1]).any(1)))
-        sides = np.empty((n, 2 * SIDE), np.int64)
+        group, windows = table.column("gram").to_numpy(), table.column("window").to_numpy()
+        sides = np.empty((n, 2 * SIDE), np.int32)
         sides[:] = 256 + np.arange(n)[:, None]  # beyond a text's end nothing matches
         for c, name in ((0, "left"), (1, "right")):
             for i, raw in enumerate(table.column(name).to_pylist()):
                 at = SIDE - len(raw) if c == 0 else SIDE
                 sides[i, at : at + len(raw)] = np.frombuffer(raw, np.uint8)
-        found = matching(sides, group)
-        known, windows = table.column("known").to_pylist(), table.column("window").to_numpy()
-        out = [(key[i, 0], windows[i], f, t) for i in np.flatnonzero(found.any(1)) if not known[i] for f, t in ranges(found[i])]
+        found = RunIndex(sides, group).marks()
+        out = [(group[i], windows[i], f, t) for i in np.flatnonzero(found.any(1)) for f, t in ranges(found[i])]
         if out:
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["gram", "window", "first", "last"])
@@ -215,9 +263,8 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size >= BATCH:
             table = pa.Table.from_batches(held)
-            key = [table.column(c).to_numpy() for c in ("gram", "a", "b")]
-            # the last group may go on in the next batch
-            open_from = int(np.flatnonzero(~np.logical_and.reduce([k == k[-1] for k in key]))[-1]) + 1 if not all((k == k[-1]).all() for k in key) else 0
+            gram = table.column("gram").to_numpy()
+            open_from = int(np.searchsorted(gram, gram[-1]))  # the last group may go on in the next batch
             if open_from:
                 yield from flush(table.slice(0, open_from))
                 held = table.slice(open_from).combine_chunks().to_batches()
@@ -227,7 +274,12 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row."""
+    """Staged: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row."""
+    with scratch(docs.sparkSession):
+        return staged(_remove_repeats(docs).withColumn("removed", F.col("n_removed") > 0), "kept-parts", last=True)
+
+
+def _remove_repeats(docs: DataFrame) -> DataFrame:
     found = digests(docs)
     spans = marked_ranges(docs, found).groupBy("at").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     copies = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))

@@ -17,19 +17,19 @@ from tallgrass.llm.common import likely
 from tallgrass.llm.components import components
 from tallgrass.llm.exact_dedup import drop_copies, exact_groups
 from tallgrass.llm.ngrams import word_hashes
-from tallgrass.llm.repeats import matching, range_minima, remove_repeats
+from tallgrass.llm.repeats import RunIndex, range_minima, remove_repeats
 
 LENGTH = 400
 
 
 def marked(texts):
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[k : k + LENGTH] for b in raw for k in range(len(b) - LENGTH + 1))
+    seen = Counter(hash(b[k : k + LENGTH]) for b in raw for k in range(len(b) - LENGTH + 1))
     out = []
     for b in raw:
         edge = np.zeros(len(b) + 1, int)
         for k in range(len(b) - LENGTH + 1):
-            if seen[b[k : k + LENGTH]] > 1:
+            if seen[hash(b[k : k + LENGTH])] > 1:
                 edge[k] += 1
                 edge[k + LENGTH] -= 1
         gone = np.cumsum(edge[:-1]) > 0
@@ -58,6 +58,14 @@ def test_repeats_of_many_alike(table, words, monkeypatch):
     check_repeats(table, rows)
 
 
+def test_a_hot_passage_in_thousands_of_contexts(table):
+    """Two passages, one just long enough to go and one just too short, in 5,000 contexts each."""
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    long, short = letters(404), letters(399)
+    check_repeats(table, [(k, letters(40) + (long if k % 2 else short) + letters(40)) for k in range(10_000)])
+
+
 def test_anchors_of_equal_strings_are_equal():
     r = np.random.default_rng(1)
     shared = r.integers(97, 105, 420).astype(np.uint8)
@@ -83,7 +91,7 @@ def test_matching_on_small_windows(monkeypatch):
         group = np.array([r.randint(0, 1) for _ in range(n)])
         whole = np.concatenate([sides[:, :4], np.zeros((n, 2), int), sides[:, 4:]], 1)
         want = [[any(j != i and group[i] == group[j] and (whole[i, s : s + 6] == whole[j, s : s + 6]).all() for j in range(n)) for s in range(5)] for i in range(n)]
-        assert matching(sides, group).tolist() == want
+        assert RunIndex(sides, group).marks().tolist() == want
 
 
 def test_exact_groups(table, rows):
