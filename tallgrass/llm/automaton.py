@@ -28,6 +28,7 @@ over many chunks), the chunks concerned are run from their true entries in order
 
 from __future__ import annotations
 
+import weakref
 from array import array
 
 import numpy as np
@@ -36,6 +37,13 @@ RESET = 0xFF
 BOS, UNKNOWN = -1, -2
 FALLBACK = 1
 ROUNDS = 6
+_tables: weakref.WeakSet = weakref.WeakSet()
+
+
+def release() -> None:
+    """Drops the tables of this process, where other work goes on in a reused worker."""
+    for automaton in _tables:
+        automaton._clear()
 
 
 class MergeAutomaton:
@@ -68,6 +76,7 @@ class MergeAutomaton:
             self.length[i] = len(body)
         for i, body in special:
             self.length[i] = len(body)
+        _tables.add(self)
         self._clear()
 
     def _node(self, body: bytes) -> int:
@@ -87,7 +96,7 @@ class MergeAutomaton:
         self._column = np.full(256, -1, np.int32)
         self._bytes: list[int] = []
         self._next = np.full((1024, 32), -1, np.int32)
-        self._emit = np.zeros((1024, 32), np.int16)
+        self._emit = np.zeros((1024, 32), np.int8)
         self.last = np.full(1024, BOS, np.int32)
         self.final = np.full(1024, BOS, np.int32)
         self._state((0, 0, 0, ((0, BOS, 0, 0),)))
@@ -99,7 +108,7 @@ class MergeAutomaton:
         code = left + 1 << 32 | right
         found = self._memo.get(code)
         if found is None:
-            if len(self._memo) > 500_000:
+            if len(self._memo) > 250_000:
                 self._memo.clear()
             found = self._memo[code] = self._stable(left, right)
         return found
@@ -164,6 +173,8 @@ class MergeAutomaton:
             if self._next[at, col] < 0:
                 key, made = self._step(self._key(at), self._bytes[col])
                 to = self._state(key)
+                if not -128 <= made <= 127 and self._emit.dtype == np.int8:
+                    self._emit = self._emit.astype(np.int16)
                 self._next[at, col], self._emit[at, col] = to, made
 
     def _columns(self, buf):
@@ -172,7 +183,7 @@ class MergeAutomaton:
                 self._column[b] = len(self._bytes)
                 self._bytes.append(b)
         if len(self._bytes) > self._next.shape[1]:
-            more = -(-len(self._bytes) // 32) * 32 - self._next.shape[1]
+            more = -(-len(self._bytes) // 8) * 8 - self._next.shape[1]
             self._next = np.pad(self._next, ((0, 0), (0, more)), constant_values=-1)
             self._emit = np.pad(self._emit, ((0, 0), (0, more)))
         return self._column[buf]

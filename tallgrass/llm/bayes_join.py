@@ -44,6 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automaton import release
 from .common import documents, fresh, located, scratch, sources, staged, text_of
 from .components import components
 from .ngrams import ngram_hashes, slices, word_hashes
@@ -163,6 +164,7 @@ def sketched(rows: DataFrame) -> DataFrame:
     others = rows.columns[3:]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         codec = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             digests, sizes, bands, packed = [], [], [], []

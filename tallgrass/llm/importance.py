@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automaton import release
 from .common import documents, fresh, importable, sources, staged, text_of
 from .ngrams import mix, ngram_hashes, slices, word_hashes
 
@@ -115,6 +116,7 @@ def fit(docs: DataFrame, known: dict[int, int]) -> Model:
     good = np.array(sorted(i for i, q in known.items() if q == 1), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             own = np.isin(identifiers(batch.column(0)), good)
