@@ -81,6 +81,10 @@ add("intersect_double", "lineitem", lambda q: q.intersect("l_discount", [0.01, 0
 add("intersect_date", "orders", lambda q: q.intersect("o_orderdate", [DAY(1995, 5, d) for d in range(1, 20)]).select(*ORD), "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate IN (" + ", ".join(f"TIMESTAMP '1995-05-{d:02}'" for d in range(1, 20)) + ")")
 add("intersect_str_ci", "customer", lambda q: q.intersect("c_mktsegment", ["building", "MACHINERY", None]).select(*CUST), f"SELECT {C} FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery') OR c_mktsegment IS NULL OR c_mktsegment = ''")
 add("intersect_large", "orders", lambda q: q.intersect("o_orderkey", range(0, 60_000, 3)).select(*ORD), f"SELECT {O} FROM orders WHERE o_orderkey IN (SELECT range FROM range(0, 60000, 3))")
+add("intersect_large_double", "lineitem", lambda q: q.intersect("l_quantity", range(5, 20_005)).select(*LINE), f"SELECT {L} FROM lineitem WHERE l_quantity BETWEEN 5 AND 20004 AND l_quantity = floor(l_quantity)")
+add("intersect_large_mixed", "part", lambda q: q.intersect("p_size", [k / 2 for k in range(20, 20_100)]).select(*PART), f"SELECT {P} FROM part WHERE p_size BETWEEN 10 AND 10049")
+add("intersect_id", "part", lambda q: q.intersect(None, [3, 5, 8, 13]).select(*PART), f"SELECT {P} FROM part WHERE p_partkey IN (3, 5, 8, 13)")
+add("all_ids", "part", lambda q: q.where(f.p_size > 0).get_ids().ids.withColumn("all_ids", F.lit(q.where(f.p_size > 0).get_ids().all_ids)), "SELECT p_partkey, (SELECT min(p_size) FROM part) > 0 AS all_ids FROM part WHERE p_size > 0")
 QUERIES["intersect_subquery"] = lambda spark, d: table(spark, d, "orders").intersect("o_custkey", table(spark, d, "customer").where(f.c_acctbal < 0)).select(*ORD)
 SQL["intersect_subquery"] = f"SELECT {O} FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 QUERIES["intersect_or_subquery"] = lambda spark, d: table(spark, d, "orders").intersect("o_custkey", table(spark, d, "customer").where(f.c_acctbal < -900)).or_().where(f.o_totalprice < 2000).select(*ORD)
@@ -153,6 +157,19 @@ add("search_and_where", "documents", lambda q: q.search("text", "the").where(f.l
 add("search_part_name", "part", lambda q: q.search("p_name", "steel").or_().search_partial("p_name", "cop").select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE " + _has("steel", column="p_name") + " OR " + _has("cop", column="p_name", prefix=True))
 add("search_time_limited", "documents", lambda q: q.search_time_limited("text", "license", 3_600_000).select("doc_id", "source"), D + _has("license"))
 
+
+
+def _cut_off(q: Query) -> DataFrame:
+    """No time at all: the first five steps of ids."""
+    found = q.search_time_limited("l_returnflag", "r", 0)
+    _, stats = found.select_with_statistics("l_orderkey")
+    return found.select("l_orderkey", "l_linenumber").withColumn("whole", F.lit(stats.searched_percentile >= 100))
+
+
+add("search_time_limited_cut", "lineitem", _cut_off, "SELECT l_orderkey, l_linenumber, (SELECT max(l_orderkey) FROM lineitem) < 5000 AS whole FROM lineitem WHERE lower(l_returnflag) = 'r' AND l_orderkey < 5000", {"l_returnflag": "words"})
+
+add("group_sum_int32", "lineitem", lambda q: q.group_by("l_linenumber", compat_int32=True).select(k="Key", total=sum_("l_linenumber")), "SELECT l_linenumber AS k, CAST(((sum(l_linenumber) + 2147483648) % 4294967296) - 2147483648 AS INT) AS total FROM lineitem GROUP BY 1")
+
 # -- managed tables --------------------------------------------------------------
 CUSTOMER = Entity("Customer", {"Id": "long", "Name": "string", "Nation": "int", "Balance": "double", "SegmentSearch": "string"})
 COLUMNS = ("Id", "Name", "Nation", "Balance", "SegmentSearch")
@@ -252,6 +269,46 @@ def _indexed(store: Store, t):
     return t.group_by("Nation", strict_indexes=True).select(k="Key", n=count(), high=max_("Balance"))
 
 
+@managed("memory_index_where", f"SELECT * FROM ({BASE}) WHERE Nation = 3 OR Nation > 20 AND Nation <> 22 AND Balance >= 0")
+def _indexed_where(store: Store, t):
+    t.create_property_index("Nation")
+    return t.where((f.Nation == 3) | ((f.Nation > 20) & (f.Nation != 22) & (f.Balance >= 0.0))).select(*COLUMNS)
+
+
+@managed("memory_index_order", f"SELECT * FROM ({BASE}) WHERE Nation IN (1, 2, 3) ORDER BY Balance, Id LIMIT 25 OFFSET 5")
+def _indexed_order(store: Store, t):
+    t.create_property_index("Balance")
+    return t.intersect("Nation", [1, 2, 3]).order_by("Balance").skip(5).take(25).select(*COLUMNS)
+
+
+@managed("write_increment_2", f"SELECT Id, Name, CASE Id WHEN 10 THEN Nation + 2 ELSE Nation END AS Nation, Balance, SegmentSearch FROM ({BASE})")
+def _increment_2(store: Store, t):
+    pair = Entity("Customer", {**CUSTOMER.columns, "Visits": "int"})
+    wide = store.table(pair)
+    wide.update("Visits", 10, 40)
+    wide.atomic_increment_2("Nation", "Visits", 2, 1, {"Id": 0}, wide.where(f.Id == 10))
+    if [r["Visits"] for r in wide.where(f.Id == 10).select("Visits").collect()] != [41]:
+        raise ValueError("the second column was not increased")
+
+
+@managed("write_two_handles", f"SELECT * FROM ({BASE}) WHERE Id <> 2 UNION ALL SELECT * FROM (VALUES (7000001, 'one', 1, 1.5, 'a'), (7000002, 'two', 2, 2.5, 'b'), (7000003, 'three', 3, 3.5, 'c')) AS v")
+def _two_handles(store: Store, t):
+    other = Store(store.spark, store.files.root).table(CUSTOMER)
+    row = lambda i, n, k: {"Id": i, "Name": n, "Nation": k, "Balance": k + 0.5, "SegmentSearch": "abc"[k - 1]}
+    t.save(row(7_000_001, "one", 1))
+    other.save(row(7_000_002, "two", 2))
+    t.save(row(7_000_003, "three", 3))
+    other.delete(2)
+
+
+@managed("write_non_atomically", f"SELECT * FROM ({BASE}) WHERE Id NOT IN (1, 2) AND Id <> 4 UNION ALL SELECT Id, Name, Nation, -0.5, SegmentSearch FROM ({BASE}) WHERE Id = 4")
+def _non_atomically(store: Store, t):
+    t.update_non_atomically("Balance", {4: -0.5}, 1)
+    t.delete_non_atomically([1, 2], 1)
+    rows = [tuple(r) for r in t.query().select_non_atomically(*COLUMNS, batch_size=100)]
+    return store.spark.createDataFrame(rows, "Id long, Name string, Nation int, Balance double, SegmentSearch string")
+
+
 @managed("request_plan", f"SELECT Id, Name AS who FROM ({BASE}) WHERE (Nation = 3 OR Balance < 0) AND Balance BETWEEN -500 AND 500 ORDER BY Balance DESC, Id DESC LIMIT 20")
 def _request(store: Store, t):
     text = commands.dumps([{"do": "where", "condition": (f.Nation == 3) | (f.Balance < 0.0)}, {"do": "between", "column": "Balance", "low": -500, "high": 500}, {"do": "orderdesc", "column": "Balance"}, {"do": "take", "n": 20}, {"do": "select", "columns": ["Id"], "renamed": {"who": "Name"}}])
@@ -281,6 +338,24 @@ QUERIES["sharded_top_k"] = lambda spark, d: _sharded(spark, d).order_by("Balance
 SQL["sharded_top_k"] = f"SELECT Id, Sid, Balance FROM ({_SHARDS}) ORDER BY Balance DESC NULLS LAST, Id DESC LIMIT 10"
 
 
+QUERIES["sharded_some_shards"] = lambda spark, d: _sharded(spark, d).on_shards(0, 2).where(f.Balance < 0).select("Id", "Sid", "Balance")
+SQL["sharded_some_shards"] = f"SELECT Id, Sid, Balance FROM ({_SHARDS}) WHERE Sid IN (0, 2) AND Balance < 0"
+
+
+def _sharded_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows change under their (Sid, Id) only; the last keys name other shards."""
+    shops = _sharded(spark, d)
+    shops.save({"Id": 2, "Sid": 1, "Nation": 7, "Balance": 1.5})
+    shops.save_batch([{"Id": 3, "Sid": 2, "Nation": 8, "Balance": 2.5}])
+    shops.update("Balance", {(0, 4): 4.5, (1, 5): 5.5, (1, 7): 99.0})
+    shops.delete([(2, 6), (0, 8)])
+    return shops.select("Id", "Sid", "Nation", "Balance")
+
+
+QUERIES["sharded_changes"] = _sharded_changes
+SQL["sharded_changes"] = f"SELECT Id, Sid, CASE Id WHEN 2 THEN 7 WHEN 3 THEN 8 ELSE Nation END AS Nation, CASE Id WHEN 2 THEN 1.5 WHEN 3 THEN 2.5 WHEN 4 THEN 4.5 WHEN 5 THEN 5.5 ELSE Balance END AS Balance FROM ({_SHARDS}) WHERE Id <> 6"
+
+
 def _queue(spark: SparkSession, _: str) -> DataFrame:
     queue, refused = Queue(), 0
     for i in range(500):

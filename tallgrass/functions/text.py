@@ -33,10 +33,19 @@ def query_words(query: str) -> list[str]:
     return query.lower().split()
 
 
+def _holding(column: Column, part: str) -> Column:
+    """The text where it holds ``part``, else null.
+
+    Every token is part of the text, and the scan is cheaper than the split.  Splitting
+    this column, not the text, keeps Spark from sharing one split of every text
+    between several searches.
+    """
+    return F.when(F.contains(F.lower(column), F.lit(part)), column)
+
+
 def has_word(column: Column, kind: str, word: str) -> Column:
-    # every token is part of the text: the scan is cheaper than the split and goes first
-    return F.contains(F.lower(column), F.lit(word)) & F.array_contains(tokens(column, kind), word)
+    return F.coalesce(F.array_contains(tokens(_holding(column, word), kind), word), F.lit(False))
 
 
 def has_prefix(column: Column, kind: str, prefix: str) -> Column:
-    return F.contains(F.lower(column), F.lit(prefix)) & F.exists(tokens(column, kind), lambda t: t.startswith(F.lit(prefix)))
+    return F.coalesce(F.exists(tokens(_holding(column, prefix), kind), lambda t: t.startswith(F.lit(prefix))), F.lit(False))

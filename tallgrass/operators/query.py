@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TableError
-from ..plans.predicate import MAX_INLINE, STEP, Between, Context, Field, In, InFrame, Node, Search, check_value, parse
+from ..plans.predicate import MAX_INLINE, STEP, Between, Context, Field, In, InFrame, Node, Search, cell, check_value, parse
 from .aggregates import Aggregate
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -117,9 +117,10 @@ class Query:
             return self._with(InFrame(column, values))
         values = tuple(check_value(v) for v in values)
         if len(values) > MAX_INLINE:
-            In(column, values[:1]).lower(self.context)
             spark, kind = self.frame.sparkSession, self.context.kind(column)
-            return self._with(InFrame(column, spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", kind)]))))
+            # null stays only where it was given
+            cells = [(c,) for v in values if (c := cell(kind, v)) is not None or v is None]
+            return self._with(InFrame(column, spark.createDataFrame(cells, T.StructType([T.StructField("v", kind)]))))
         return self._with(In(column, values))
 
     def search(self, column: str, query: str, start_step: int | None = None, steps: int | None = None) -> Query:

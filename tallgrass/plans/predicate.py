@@ -8,6 +8,7 @@ string is null, and a row written before a column existed matches nothing on it.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -114,6 +115,24 @@ def literal(kind: T.DataType, value: Any) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast(kind) if isinstance(value, dt.date) else F.lit(value)
 
 
+def cell(kind: T.DataType, value: Any) -> Any:
+    """``value`` as a cell of a column, for long value lists; ``literal``'s rules and
+    errors.  A number that no cell of the column equals becomes null."""
+    if value is None:
+        return None
+    literal(kind, value)
+    if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
+        value = dt.datetime(value.year, value.month, value.day)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return float(value)
+    if isinstance(kind, T.DecimalType):
+        return decimal.Decimal(str(value))
+    if isinstance(kind, T.NumericType):
+        bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(kind), 64)
+        return int(value) if value == int(value) and -(2 ** (bits - 1)) <= value < 2 ** (bits - 1) else None
+    return value
+
+
 @dataclass(frozen=True)
 class Compare(Node):
     op: str

@@ -41,6 +41,10 @@ class Files:
         finally:
             stream.close()
 
+    def claim(self, name: str) -> bool:
+        """Makes an empty file; false if it is there."""
+        return bool(self._fs.createNewFile(self._path(name)))
+
     def replace(self, name: str, text: str) -> None:
         temporary = f"{name}.{uuid.uuid4().hex}"
         stream = self._fs.create(self._path(temporary), True)
@@ -69,12 +73,28 @@ class Manifest:
             files.make(files.root)
             self.data = {"version": 0, "tables": {}, "indexes": {}}
 
+    def refresh(self) -> bool:
+        """Takes up what other handles have made current; whether there was something."""
+        if not self.files.exists(f"{self.files.root}/{self.NAME}"):
+            return False
+        found = json.loads(self.files.read(f"{self.files.root}/{self.NAME}"))
+        if found["version"] == self.data["version"]:
+            return False
+        self.data = found
+        return True
+
     def copy(self) -> dict[str, Any]:
         return json.loads(json.dumps(self.data))
 
     def save(self, data: dict[str, Any]) -> None:
-        if data["version"] != self.data["version"]:
+        begun = data["version"]
+        if self.refresh() or begun != self.data["version"]:
             raise TableError("the store has changed since this change was begun")
         data["version"] += 1
+        # of several writers of one version, the one that makes this file goes on
+        claim = f"{self.files.root}/manifest-{data['version']}.claim"
+        if not self.files.claim(claim):
+            raise TableError(f"the store is being changed by another writer; {claim} is left behind if it died")
+        self.files.delete(f"{self.files.root}/manifest-{begun}.claim")
         self.files.replace(f"{self.files.root}/{self.NAME}", json.dumps(data))
         self.data = data

@@ -10,8 +10,12 @@ import random
 from collections.abc import Iterable
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 from ..errors import TableError
-from .entity import Entity
+from ..operators.query import Query
+from .entity import TYPES, Entity, check_cell
 from .store import Store, Table
 
 
@@ -39,6 +43,9 @@ class ShardedTable:
             raise TableError("Batch cannot contain both new and existing items")
         if any(bool(i.get("Id")) != bool(i.get("Sid")) for i in items):
             raise TableError("Id and Sid must both be equal to zero or both be set")
+        strange = next((i["Sid"] for i in items if i.get("Sid") and i["Sid"] not in self.shards), None)
+        if strange is not None:
+            raise TableError(f"there is no shard {strange}")
         for k, item in enumerate(items):
             if all(new):
                 item["Sid"] = self.shards[k % len(self.shards)]
@@ -46,15 +53,51 @@ class ShardedTable:
         return [(i["Sid"], n) for i, n in zip(items, ids, strict=True)]
 
     def update(self, column: str, values: dict[tuple[int, int], Any]) -> None:
-        self.table.update(column, {i: v for (_, i), v in self._known(values).items()})
+        kind = self.entity.columns.get(column)
+        if kind is None or column in ("Id", "Sid"):
+            raise TableError(f"{column} can't be updated")
+        cells = [(s, i, check_cell(column, kind, v)) for (s, i), v in values.items()]
+        if cells:
+            self.table.update(column, self._known(cells, T.StructField("value", TYPES[kind])).select("Id", "value"))
 
     def delete(self, keys: Iterable[tuple[int, int]]) -> None:
-        self.table.delete([i for _, i in self._known(dict.fromkeys(keys))])
+        cells = [(s, i) for s, i in dict.fromkeys(keys)]
+        if cells:
+            self.table.delete(self._known(cells).select("Id"))
+
+    def _known(self, cells: list[tuple], *more: T.StructField) -> DataFrame:
+        """Of (Sid, Id, ...) those whose row is in that shard."""
+        keys = T.StructType([T.StructField("Sid", T.IntegerType()), T.StructField("Id", TYPES[self.entity.columns["Id"]]), *more])
+        return self.table.store.spark.createDataFrame(cells, keys).join(self.table.query().select("Sid", "Id"), ["Sid", "Id"], "left_semi")
+
+    def on_shards(self, *shards: int) -> Query:
+        """A query over some shards only."""
+        if strange := set(shards) - set(self.shards):
+            raise TableError(f"there is no shard {min(strange)}")
+        return self.table.query().intersect("Sid", shards)
+
+    # -- of the one table: indexes and catalogue -----------------------------------
+
+    def create_property_index(self, column: str) -> None:
+        self.table.create_property_index(column)
+
+    def create_group_index(self, group: str, value: str) -> None:
+        self.table.create_group_index(group, value)
+
+    def remove_property_index(self, column: str) -> None:
+        self.table.remove_property_index(column)
+
+    def remove_group_index(self, group: str, value: str) -> None:
+        self.table.remove_group_index(group, value)
+
+    def tables(self) -> list[str]:
+        return self.table.store.tables()
+
+    def table_definition(self, name: str) -> str | None:
+        return self.table.store.table_definition(name)
 
-    def _known(self, keyed: dict[tuple[int, int], Any]) -> dict[tuple[int, int], Any]:
-        """Those of the keys whose row is in that shard."""
-        rows = self.table.query().intersect("Id", [i for _, i in keyed]).select("Sid", "Id").collect()
-        return {k: keyed[k] for r in rows if (k := (r["Sid"], r["Id"])) in keyed}
+    def existing_indexes(self) -> list[str]:
+        return self.table.store.existing_indexes()
 
     def __getattr__(self, name: str):
         if name.startswith("_") or name in ("table", "entity", "shards"):

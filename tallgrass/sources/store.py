@@ -38,15 +38,26 @@ class Store:
         self.manifest = Manifest(self.files)
         self.manifest.data.setdefault("bucket_ids", bucket_ids)
         self.lock = threading.RLock()
-        self._cached: dict[str, DataFrame] = {}
+        self._cached: dict[str, tuple[DataFrame, list[tuple[str, str]]]] = {}
         if delete_indexes and self.manifest.data["indexes"]:
             self._save({**self.manifest.copy(), "indexes": {}})
 
     def _save(self, data: dict[str, Any]) -> None:
         self.manifest.save(data)
-        for df in self._cached.values():
-            df.unpersist()
-        self._cached.clear()
+        self._forget(data)
+
+    def _forget(self, data: dict[str, Any]) -> None:
+        """Drops the caches of tables whose files are not those of ``data``."""
+        for name, (df, folders) in list(self._cached.items()):
+            if folders != sorted(data["tables"].get(name, {"buckets": {}})["buckets"].items()) or not any(x.startswith(f"{name} ") for x in data["indexes"]):
+                df.unpersist()
+                del self._cached[name]
+
+    def refresh(self) -> None:
+        """Takes up what other handles on the folder have changed."""
+        with self.lock:
+            if self.manifest.refresh():
+                self._forget(self.manifest.data)
 
     def table(self, entity: Any, transaction: Transaction | None = None) -> Table:
         return Table(self, Entity.of(entity, self.strict_types), transaction)
@@ -89,7 +100,7 @@ class Store:
         return {"is_up": alive, "version": self.spark.version, "store_version": self.manifest.data["version"]}
 
     def close(self) -> None:
-        for df in self._cached.values():
+        for df, _ in self._cached.values():
             df.unpersist()
         self._cached.clear()
 
@@ -119,6 +130,7 @@ class Transaction:
         if not self.changes:
             return
         with self.store.lock:
+            self.store.refresh()
             data = self.store.manifest.copy()
             for change in self.changes:
                 change(data)
@@ -167,6 +179,7 @@ class Table:
         return spark.read.schema(schema).parquet(*(f"{self.store.files.root}/{f}" for f in folders))
 
     def query(self) -> Query:
+        self.store.refresh()
         data = self.store.manifest.copy()
         info = self._merged(data)
         name, shapes = self.entity.name, info["shapes"]
@@ -181,7 +194,9 @@ class Table:
 
         df = self._rows(info)
         if any(x.startswith(f"{name} ") for x in data["indexes"]):
-            df = self.store._cached.setdefault(name, df.cache())
+            if name not in self.store._cached:
+                self.store._cached[name] = df.cache(), sorted(info["buckets"].items())
+            df = self.store._cached[name][0]
         indexed = {tuple(x.split(" ")[1:]) for x in data["indexes"] if x.startswith(f"{name} ") and x.count(" ") == 2}
         return Query(df, "Id", tuple(self.entity.columns), search_kinds(self.entity.schema), gap=gap, default=default, max_id=lambda: info["counter"], group_indexes=lambda: indexed)
 
@@ -200,10 +215,17 @@ class Table:
             self.tran._add(self.entity.name, list(ids), column, change)
             return
         with self.store.lock:
+            self.store.refresh()
             data = self.store.manifest.copy()
             change(data)
             self.store._save(data)
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """A caller's rows, evaluated once: a change reads them several times."""
+        path = f"{self.store.files.root}/{self.entity.name}/delta-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
     def _rewrite(self, data: dict[str, Any], info: dict[str, Any], delta: DataFrame, make) -> None:
         """Replace the buckets of ``delta``'s ids by ``make(their rows)``."""
         size = data["bucket_ids"]
@@ -215,7 +237,8 @@ class Table:
         held = {b: f for b, f in info["buckets"].items() if b in touched}
         base = self._rows(info, [f"{f}" for f in held.values()]) if held else self._rows(info, [])
         folder = f"{self.entity.name}/{uuid.uuid4().hex}"
-        make(base).withColumn(BUCKET, bucket).write.partitionBy(BUCKET).parquet(f"{self.store.files.root}/{folder}")
+        # a bucket of 2^20 ids is one task's work, and one file
+        make(base).withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.store.files.root}/{folder}")
         for b in touched:
             part = f"{folder}/{BUCKET}={b}"
             if self.store.files.exists(f"{self.store.files.root}/{part}"):
@@ -275,6 +298,7 @@ class Table:
                 raise TableError("Id must not be negative")
             rows.append(row)
         with self.store.lock:
+            self.store.refresh()
             info = self.store.manifest.data["tables"].get(self.entity.name)
             self._check_indexed(self.store.manifest.data, rows)
             counter = max(info["counter"] if info else 0, getattr(self.tran, "_counters", {}).get(self.entity.name, 0))
@@ -305,8 +329,9 @@ class Table:
         missing = set(self.entity.columns) - set(df.columns)
         if missing:
             raise TableError(f"the DataFrame has no column {sorted(missing)[0]}")
-        checked = df.select(*(stored(c, k) for c, k in self.entity.columns.items()))
-        delta = checked.groupBy("Id").agg(*(F.first(c).alias(c) for c in self.entity.columns if c != "Id")) if len(self.entity.columns) > 1 else checked.distinct()
+        checked = self._staged(df.select(*(stored(c, k) for c, k in self.entity.columns.items()), F.monotonically_increasing_id().alias(ORDINAL)))
+        rest = [c for c in self.entity.columns if c != "Id"]
+        delta = checked.groupBy("Id").agg(F.min_by(F.struct(*rest), ORDINAL).alias("r")).select("Id", "r.*") if rest else checked.select("Id").distinct()
         bounds = checked.agg(F.min("Id"), F.max("Id"), F.count_if(F.col("Id").isNull())).first()
         if bounds[0] is None and not bounds[2]:
             return []
@@ -343,7 +368,9 @@ class Table:
         def change(data: dict[str, Any]) -> None:
             info = self._merged(data)
             schema = T.StructType([T.StructField("Id", TYPES[self.entity.columns["Id"]]), T.StructField(column, TYPES[kind])])
-            delta = values.toDF("Id", column).select("Id", stored(column, kind)).dropDuplicates(["Id"]) if frame else self.store.spark.createDataFrame(list(pairs.items()), schema)
+            delta = values.toDF("Id", column).select("Id", stored(column, kind), F.monotonically_increasing_id().alias(ORDINAL)) if frame else self.store.spark.createDataFrame(list(pairs.items()), schema)
+            if frame:
+                delta = self._staged(delta).groupBy("Id").agg(F.min_by(F.struct(column), ORDINAL).alias("r")).select("Id", "r.*")
             before = info["shapes"].copy()
             union = {i: self._shape(info, {*s, column}) for i, s in enumerate(before)}
 
@@ -358,7 +385,7 @@ class Table:
                 return both.select(*columns, F.when(hit, shape).otherwise(F.col(SHAPE)).cast("int").alias(SHAPE))
 
             known = self.store.spark.createDataFrame([(b,) for b in info["buckets"]], "b string")
-            inside = delta.withColumn("b", F.floor(F.col("Id") / data["bucket_ids"]).cast("long").cast("string")).join(F.broadcast(known), "b", "left_semi")  # one row a bucket
+            inside = delta.withColumn("b", F.floor(F.col("Id") / data["bucket_ids"]).cast("long").cast("string")).join(known, "b", "left_semi")
             self._rewrite(data, info, inside, make)
 
         self._change([] if frame else pairs, column, change)
@@ -372,7 +399,7 @@ class Table:
 
         def change(data: dict[str, Any]) -> None:
             info = self._merged(data)
-            delta = ids.toDF("Id") if frame else self.store.spark.createDataFrame([(i,) for i in some], "Id long")
+            delta = self._staged(ids.toDF("Id")) if frame else self.store.spark.createDataFrame([(i,) for i in some], "Id long")
             self._rewrite(data, info, delta, lambda base: base.join(delta.select("Id"), "Id", "left_anti").select(*info["columns"], SHAPE))
 
         self._change(some, None, change)

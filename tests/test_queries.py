@@ -72,6 +72,11 @@ def test_intersect(numbers, spark):
     assert ids(numbers.intersect("Normalized", [])) == []
     assert ids(numbers.intersect(None, [1, 3])) == [1, 3]
     assert ids(numbers.intersect("Id", range(0, 30_000, 2))) == [2, 4, 6]
+    assert ids(numbers.intersect("Normalized", range(-5, 20_000))) == [3]
+    assert ids(numbers.intersect("PeriodId", [k / 2 for k in range(20_000)])) == [1, 2, 3, 6]
+    assert ids(numbers.intersect("Normalized", [None, 0.5, *range(100, 20_000)])) == [4, 6]
+    with pytest.raises(TableError):
+        numbers.intersect("Id", [*range(20_000), "a"])
     assert ids(numbers.intersect("Id", numbers.where(f.PeriodId < 0))) == [4, 5]
     frame = spark.createDataFrame([(0.5,), (0.5,), (None,)], "v double")
     assert ids(numbers.intersect("Normalized", frame)) == [4, 6]

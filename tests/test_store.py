@@ -162,6 +162,33 @@ def test_readers_keep_their_version_and_replicas(store, spark, tmp_path):
     assert store.status()["is_up"]
 
 
+def test_two_handles(store, spark, tmp_path):
+    t, other = store.table(COUNTER), Store(spark, str(tmp_path / "store"), bucket_ids=10).table(COUNTER)
+    row = lambda i: {"Id": i, "Name": "x", "Value": i}
+    t.save(row(1))
+    other.save(row(2))
+    assert t.save(row(0)) == 3 and values(other, "Id") == values(t, "Id") == [(1,), (2,), (3,)]
+    data = store.manifest.copy()
+    other.delete(1)
+    with pytest.raises(TableError, match="has changed"):
+        store.manifest.save(data)
+    store.refresh()
+    store.files.claim(f"{store.files.root}/manifest-{store.manifest.data['version'] + 1}.claim")  # another writer is at it
+    with pytest.raises(TableError, match="another writer"):
+        t.save(row(9))
+
+
+def test_a_change_reads_its_rows_once(store, spark):
+    """Rows that a plan makes anew at each run, and rows of one id in their order."""
+    t = store.table(COUNTER)
+    noise = spark.range(40).selectExpr("CAST(1 + floor(rand() * 1000) AS INT) AS Id", "'n' AS Name", "CAST(id AS INT) AS Value")
+    t.save_batch(noise)
+    assert t.count() == t.query().select("Id").distinct().count() > 30
+    t.delete(range(1, 1002))
+    t.save_batch(spark.range(100).coalesce(1).selectExpr("1 AS Id", "CAST(id AS STRING) AS Name", "CAST(id AS INT) AS Value"))
+    assert values(t) == [(1, "0", 0)]
+
+
 def test_indexes(store, spark, tmp_path):
     t = store.table(COUNTER)
     t.save_batch([{"Id": 1, "Name": "a", "Value": 1}, {"Id": 2, "Name": "b", "Value": 1}])
@@ -202,7 +229,10 @@ def test_shards(store):
     shops.update("G", {keys[0]: 9, (2, keys[2][1]): 77})
     shops.delete([keys[1]])
     assert sorted(r[0] for r in shops.select("G").collect()) == [5, 6, 9]
-    for bad in (lambda: shops.save({"Id": 1, "Sid": 0}), lambda: shops.save_batch([{"Id": 0, "Sid": 0}, {"Id": 1, "Sid": 1}])):
+    shops.create_group_index("G", "Sid")
+    assert shops.existing_indexes() == ["Shop G Sid", "Shop Id"] and shops.tables() == ["Shop"]
+    assert {r["Sid"] for r in shops.on_shards(2).select("Sid").collect()} == {2}
+    for bad in (lambda: shops.on_shards(3), lambda: shops.save_batch([{"Id": 1, "Sid": 99}]), lambda: shops.save({"Id": 1, "Sid": 0}), lambda: shops.save_batch([{"Id": 0, "Sid": 0}, {"Id": 1, "Sid": 1}])):
         with pytest.raises(TableError):
             bad()
 
