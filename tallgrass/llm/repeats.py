@@ -16,12 +16,16 @@ own or another text.
    matches with both neighbours grow by one, at run ends they are the samples.  These
    are the matching statistics of every start; starts that reach LENGTH are marked.
    Many groups are indexed in one batch.
-4. Groups of more than BLOCK windows would need one large index.  Their windows send a
-   hash of each of their at most LENGTH - GRAM + 1 strings instead; strings that are
-   sent twice are marked.  So the work is linear in the number of windows.
+4. Groups of more than BLOCK windows would need one large index.  They are parted by
+   ranges of starts (:func:`split`): strings that start in one range and are equal
+   share the bytes that all strings of the range have, its core, so windows with
+   another core part.  Of windows that are equal over the range, which repeat there,
+   one takes part for all.  Groups of BLOCK or fewer that are left go to the index, the
+   others to narrower ranges, of one start at last.  So a window sends a few rows a
+   level, and the work is linear in the number of windows.
 5. Marked ranges return to all texts with that window and are united there.
 
-Hashes are of 64 bits (anchors, windows and strings: 128 together) and of 256 bits
+Hashes are of 64 bits (anchors and windows, cores and ranges: 128 together) and of 256 bits
 (texts); a marked start is a true repetition unless two of them collide.
 
 Rows: null text counts as empty; texts below LENGTH bytes stay whole; repeated rows
@@ -33,9 +37,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +54,8 @@ SIDE = LENGTH - GRAM
 BLOCK = 256
 #: Windows that are indexed together.
 BATCH = 4096
+#: Starts in the ranges by which large groups are parted, each a multiple of the next.
+WIDTHS = (40, 8, 1)
 
 
 def range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -133,13 +141,31 @@ def _put(values: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def string_hashes(data: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and hashes of all LENGTH-byte strings in a window whose gram begins at ``before``."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
-    at = np.arange(max(0, before - SIDE), min(before, n - LENGTH) + 1)
-    return at - before + SIDE, mix((total[at + LENGTH] - total[at]) * _powers(_BACK, n + 1)[at]).view(np.int64)
+def split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of windows, one for each range of ``width`` starts.
+
+    A window, without its gram, is what is left and right of it; its strings start at
+    SIDE - size(left) to size(right).  A part is the window of its own strings alone,
+    with a hash of its core (with gram and range) and one of itself.
+    """
+    for batch in batches:
+        out = []
+        for gram, window, twice, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            middle, first, last = len(left), SIDE - len(left), min(SIDE, len(right))
+            data = np.frombuffer(left + right, np.uint8)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=total[1:])
+            back = _powers(_BACK, len(data) + 1)
+            low = np.arange(first // width * width, last + 1, width)
+            high = np.minimum(low + width, SIDE + 1) - 1
+            begin, end = np.maximum(low, first), np.minimum(high, last)
+            of = lambda x, y: mix((total[y] - total[x]) * back[x])  # noqa: B023, E731
+            core = mix(mix(of(middle - SIDE + high, middle + low) + low.astype(np.uint64)) + np.array(gram).astype(np.uint64))
+            own = mix(of(middle - SIDE + begin, middle + end) + (begin * (SIDE + 1) + end).astype(np.uint64))
+            for c, o, x, y in zip(core.view(np.int64).tolist(), own.view(np.int64).tolist(), begin.tolist(), end.tolist(), strict=True):
+                out.append((c, o, gram, window, twice, x, y, left[middle - SIDE + x :], right[:y]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PART, strict=True)], schema=PART)
 
 
 def ranges(marks: np.ndarray) -> np.ndarray:
@@ -208,33 +234,47 @@ def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
             for wanted, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = codec.decompress(packed)
                 for w in wanted:
-                    first, last = w["pos"] - w["before"], w["pos"] + w["after"]
-                    if w["hot"]:
-                        column, value = string_hashes(np.frombuffer(raw, np.uint8)[first:last], w["before"])
-                        out += [(w["gram"], w["window"], c, h, w["twice"], None, None) for c, h in zip(column.tolist(), value.tolist(), strict=True)]
-                    else:
-                        out += [(w["gram"], w["window"], -1, 0, False, raw[first : w["pos"]], raw[w["pos"] + GRAM : last])] * (2 if w["twice"] else 1)
+                    left, right = raw[w["pos"] - w["before"] : w["pos"]], raw[w["pos"] + GRAM : w["pos"] + w["after"]]
+                    out.append((w["gram"], w["window"], w["twice"], w["hot"], left, right))
                     if len(out) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WINDOW, strict=True)], schema=WINDOW)
                         out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WINDOW, strict=True)], schema=WINDOW)
 
-    pieces = staged(texts.mapInArrow(cut, "gram long, window long, column int, value long, twice boolean, left binary, right binary"), "window-strings")
-    small = pieces.where("column < 0").select("gram", "window", "left", "right").repartition("gram").sortWithinPartitions("gram")
-    indexed = small.mapInArrow(index, "gram long, window long, first int, last int").distinct()
-    strings = pieces.where("column >= 0").select("gram", "window", "column", "value", "twice")
-    again = strings.groupBy("gram", "column", "value").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("some")).where("n > 1 OR some").select("gram", "column", "value")
-    columns = strings.join(again, ["gram", "column", "value"]).groupBy("gram", "window").agg(F.sort_array(F.collect_set("column")).alias("c"))
-    apart = lambda x, i, step: ~F.coalesce(F.get("c", i + step) == x + step, F.lit(False))
-    ends = columns.select("gram", "window", F.filter("c", lambda x, i: apart(x, i, -1)).alias("first"), F.filter("c", lambda x, i: apart(x, i, 1)).alias("last"))
-    edges = ends.select("gram", "window", F.explode(F.arrays_zip("first", "last")).alias("e")).select("gram", "window", "e.first", "e.last")
-    marks = rows.select("gram", "window", "at", "pos", "before", "after").join(staged(indexed.unionByName(edges), "marks"), ["gram", "window"])
+    pieces = staged(texts.mapInArrow(cut, "gram long, window long, twice boolean, hot boolean, left binary, right binary"), "window-strings")
+    small, marked = parted(pieces.where("hot").drop("hot"))
+    small = pieces.where("NOT hot").select(F.col("gram").alias("part"), "gram", "window", "twice", "left", "right").unionByName(small)
+    indexed = small.repartition("part").sortWithinPartitions("part").mapInArrow(index, "gram long, window long, first int, last int")
+    marks = staged(indexed.unionByName(marked), "marks").groupBy("gram", "window").agg(F.collect_set(F.struct("first", "last")).alias("e"))
+    marks = rows.select("gram", "window", "at", "pos", "before", "after").join(marks, ["gram", "window"]).select("at", "pos", "before", "after", F.explode("e").alias("e")).select("at", "pos", "before", "after", "e.*")
     # a window that occurs again counts from end to end
     return marks.select("at", (F.col("pos") - F.least(F.col("before"), SIDE - F.col("first"))).alias("from"), (F.col("pos") + F.least(F.col("after"), GRAM + F.col("last"))).alias("to"))
 
 
-WINDOW = pa.schema([("gram", pa.int64()), ("window", pa.int64()), ("column", pa.int32()), ("value", pa.int64()), ("twice", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+def parted(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts for the index (part, gram, window, twice, left, right), and starts of
+    ``windows`` (of large groups) that are marked already (gram, window, first, last)."""
+    spark = windows.sparkSession
+    small = spark.createDataFrame([], "part long, gram long, window long, twice boolean, left binary, right binary")
+    marked = spark.createDataFrame([], "gram long, window long, first int, last int")
+    for width in WIDTHS:
+        if windows.isEmpty():
+            break
+        parts = staged(windows.mapInArrow(partial(split, width=width), "core long, own long, gram long, window long, twice boolean, first int, last int, left binary, right binary"), "parts")
+        ones = parts.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice"), F.min(F.struct("window", "gram", "left", "right")).alias("one"))
+        ones = staged(ones, "different-parts")
+        again = ones.where("n > 1 OR twice").select("core", "own")
+        marked = marked.unionByName(parts.select("core", "own", "gram", "window", "first", "last").join(again, ["core", "own"]).select("gram", "window", "first", "last"))
+        cores = ones.groupBy("core").agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+        left = staged(ones.join(cores, "core").select(F.col("core").alias("part"), "one.gram", "one.window", F.lit(False).alias("twice"), "one.left", "one.right", "n_parts"), "open-parts")
+        small = small.unionByName(left.where(F.col("n_parts") <= BLOCK).drop("n_parts"))
+        windows = left.where(F.col("n_parts") > BLOCK).select("gram", "window", "twice", "left", "right")
+    return small, marked
+
+
+WINDOW = pa.schema([("gram", pa.int64()), ("window", pa.int64()), ("twice", pa.bool_()), ("hot", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+PART = pa.schema([("core", pa.int64()), ("own", pa.int64()), ("gram", pa.int64()), ("window", pa.int64()), ("twice", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
 def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +285,17 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = table.num_rows
         if not n:
             return
-        group, windows = table.column("gram").to_numpy(), table.column("window").to_numpy()
+        if pc.any(table.column("twice")).as_py():  # of equal windows two take part
+            table = table.take(np.repeat(np.arange(n), 1 + table.column("twice").to_numpy()))
+            n = table.num_rows
+        part, group, windows = (table.column(c).to_numpy() for c in ("part", "gram", "window"))
         sides = np.empty((n, 2 * SIDE), np.int32)
         sides[:] = 256 + np.arange(n)[:, None]  # beyond a text's end nothing matches
         for c, name in ((0, "left"), (1, "right")):
             for i, raw in enumerate(table.column(name).to_pylist()):
                 at = SIDE - len(raw) if c == 0 else SIDE
                 sides[i, at : at + len(raw)] = np.frombuffer(raw, np.uint8)
-        found = RunIndex(sides, group).marks()
+        found = RunIndex(sides, part).marks()
         out = [(group[i], windows[i], f, t) for i in np.flatnonzero(found.any(1)) for f, t in ranges(found[i])]
         if out:
             columns = list(zip(*out, strict=True))
@@ -263,8 +306,8 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size >= BATCH:
             table = pa.Table.from_batches(held)
-            gram = table.column("gram").to_numpy()
-            open_from = int(np.searchsorted(gram, gram[-1]))  # the last group may go on in the next batch
+            part = table.column("part").to_numpy()
+            open_from = int(np.searchsorted(part, part[-1]))  # the last group may go on in the next batch
             if open_from:
                 yield from flush(table.slice(0, open_from))
                 held = table.slice(open_from).combine_chunks().to_batches()
