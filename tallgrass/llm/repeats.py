@@ -216,6 +216,11 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Staged: at, from, to: bytes of texts (one of each) that are covered by repetitions."""
+    with scratch(docs.sparkSession):
+        return staged(_marked_ranges(docs, found), "ranges", last=True)
+
+
+def _marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     one = found.where("size(anchors) > 0").groupBy("digest").agg(F.min("at").alias("at"))
     anchored = found.join(one.select("at"), "at", "left_semi").select("at", "doc_id", "digest", F.explode(F.expr("transform(sequence(0, size(anchors) div 4 - 1), i -> struct(anchors[4 * i] AS gram, anchors[4 * i + 1] AS window, anchors[4 * i + 2] AS pos, anchors[4 * i + 3] div 4294967296 AS before, anchors[4 * i + 3] % 4294967296 AS after))")).alias("a"))
     rows = staged(anchored.select("at", "doc_id", "digest", "a.*"), "anchor-rows")
@@ -246,7 +251,8 @@ def marked_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     small, marked = parted(pieces.where("hot").drop("hot"))
     small = pieces.where("NOT hot").select(F.col("gram").alias("part"), "gram", "window", "twice", "left", "right").unionByName(small)
     indexed = small.repartition("part").sortWithinPartitions("part").mapInArrow(index, "gram long, window long, first int, last int")
-    marks = staged(indexed.unionByName(marked), "marks").groupBy("gram", "window").agg(F.collect_set(F.struct("first", "last")).alias("e"))
+    # staged, so that a hot window's places can be split or its marks be broadcast, as their size allows
+    marks = staged(indexed.unionByName(marked).groupBy("gram", "window").agg(F.collect_set(F.struct("first", "last")).alias("e")), "marks")
     marks = rows.select("gram", "window", "at", "pos", "before", "after").join(marks, ["gram", "window"]).select("at", "pos", "before", "after", F.explode("e").alias("e")).select("at", "pos", "before", "after", "e.*")
     # a window that occurs again counts from end to end
     return marks.select("at", (F.col("pos") - F.least(F.col("before"), SIDE - F.col("first"))).alias("from"), (F.col("pos") + F.least(F.col("after"), GRAM + F.col("last"))).alias("to"))
@@ -261,13 +267,15 @@ def parted(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for width in WIDTHS:
         if windows.isEmpty():
             break
-        parts = staged(windows.mapInArrow(partial(split, width=width), "core long, own long, gram long, window long, twice boolean, first int, last int, left binary, right binary"), "parts")
-        ones = parts.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice"), F.min(F.struct("window", "gram", "left", "right")).alias("one"))
-        ones = staged(ones, "different-parts")
-        again = ones.where("n > 1 OR twice").select("core", "own")
-        marked = marked.unionByName(parts.select("core", "own", "gram", "window", "first", "last").join(again, ["core", "own"]).select("gram", "window", "first", "last"))
-        cores = ones.groupBy("core").agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
-        left = staged(ones.join(cores, "core").select(F.col("core").alias("part"), "one.gram", "one.window", F.lit(False).alias("twice"), "one.left", "one.right", "n_parts"), "open-parts")
+        with scratch(spark):
+            parts = staged(windows.mapInArrow(partial(split, width=width), "core long, own long, gram long, window long, twice boolean, first int, last int, left binary, right binary"), "parts")
+            ones = parts.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice"), F.min(F.struct("window", "gram", "left", "right")).alias("one"))
+            ones = staged(ones, "different-parts")
+            again = ones.where("n > 1 OR twice").select("core", "own")
+            found = parts.select("core", "own", "gram", "window", "first", "last").join(again, ["core", "own"]).select("gram", "window", "first", "last")
+            marked = marked.unionByName(staged(found, "repeated-parts", last=True))
+            cores = ones.groupBy("core").agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+            left = staged(ones.join(cores, "core").select(F.col("core").alias("part"), "one.gram", "one.window", F.lit(False).alias("twice"), "one.left", "one.right", "n_parts"), "open-parts", last=True)
         small = small.unionByName(left.where(F.col("n_parts") <= BLOCK).drop("n_parts"))
         windows = left.where(F.col("n_parts") > BLOCK).select("gram", "window", "twice", "left", "right")
     return small, marked
