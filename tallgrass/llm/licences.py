@@ -5,7 +5,9 @@
 2. Units in a row that together are a known sentence become its identifier, the
    longest first: a trie of words is followed over as many units as it takes, so
    that sentences broken over any number of lines are found.  List markers (a number
-   or letter of its own) before a sentence are left out.  A
+   or letter of its own) before a sentence are left out.  Templates have slots, for
+   names, that take up to SLOT words.  An SPDX line gives one identifier for each
+   licence of its expression; exceptions after WITH are left out.  A
    unit that speaks of licences but is no known sentence becomes UNKNOWN.  Others
    are left out and part what is before from what is after.
 3. The sequence of identifiers is matched against ordered rules: the first rule that
@@ -14,6 +16,9 @@
 
 Tables are fixed and small; short forms are built from names and phrases.
 
+Very long texts are read whole, unit by unit; time is linear in the text but for
+sentences that begin alike, of which each start is followed to the first difference.
+
 Rows: a null text counts as empty and has no licences; repeated rows are scanned
 each; an empty table gives an empty result; other columns are not read.  A rule that
 occurs twice is reported once, at its first place; licences are listed in the order
@@ -56,7 +61,9 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"],
     "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
 }
-PHRASES = ["licensed under", "released under", "distributed under", "available under", "published under"]
+#: Families whose notices say which versions are meant, as their names go on after "gnu".
+FAMILIES = {"GPL": ("general public license", ("2.0", "3.0")), "LGPL": ("lesser general public license", ("2.1", "3.0")), "AGPL": ("affero general public license", ("3.0",))}
+PHRASES = [f"{verb} under{terms}" for verb in ("licensed", "released", "distributed", "available", "published") for terms in ("", " the terms of")]
 SUBJECTS = ["", "this work is", "this software is", "this program is", "this project is", "this file is", "this document is", "this code is", "the code is", "this package is"]
 
 #: Sentences of licence texts and notices.
@@ -79,8 +86,77 @@ SENTENCES = {
     "public-domain": "this is free and unencumbered software released into the public domain",
 }
 
+#: Sentences with slots (*), by identifier.
+TEMPLATES = {
+    "bsd-names": ["neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-warranty": ["this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd-liability": ["in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
+}
+#: Words that a slot takes at most.
+SLOT = 16
+
+#: Titles of whole licence texts.
+TITLES = {
+    "GPL-2.0": "gnu general public license version 2 june 1991",
+    "GPL-3.0": "gnu general public license version 3 29 june 2007",
+    "LGPL-2.1": "gnu lesser general public license version 2 1 february 1999",
+    "LGPL-3.0": "gnu lesser general public license version 3 29 june 2007",
+    "AGPL-3.0": "gnu affero general public license version 3 19 november 2007",
+    "Apache-2.0": "apache license version 2 0 january 2004",
+    "MPL-2.0": "mozilla public license version 2 0",
+    "EPL-2.0": "eclipse public license v 2 0",
+    "BSL-1.0": "boost software license version 1 0 august 17th 2003",
+    "CC-BY-4.0": "creative commons attribution 4 0 international public license",
+    "CC-BY-SA-4.0": "creative commons attribution sharealike 4 0 international public license",
+    "CC-BY-NC-4.0": "creative commons attribution noncommercial 4 0 international public license",
+    "CC-BY-NC-SA-4.0": "creative commons attribution noncommercial sharealike 4 0 international public license",
+    "CC-BY-ND-4.0": "creative commons attribution noderivatives 4 0 international public license",
+}
+
+
+def _spoken(version: str) -> str:
+    return version.removesuffix(".0").replace(".", " ")
+
+
+def _notices() -> dict[str, str]:
+    """Sentences of the notices of a family, by sentence."""
+    out = {}
+    for family, (title, versions) in FAMILIES.items():
+        for thing in ("program", "library", "software", "file", "package", "project"):
+            free = f"this {thing} is free software you can redistribute it and or modify it under the terms of the gnu {title}"
+            for version in versions:
+                v = _spoken(version)
+                out[f"{free} as published by the free software foundation either version {v} of the license or at your option any later version"] = f"free-{family}-{version}-or-later"
+                out[f"{free} as published by the free software foundation version {v} of the license"] = f"free-{family}-{version}-only"
+                out[f"{free} version {v} as published by the free software foundation"] = f"free-{family}-{version}-only"
+            out[f"this {thing} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"] = "gnu-hope"
+            out[f"you should have received a copy of the gnu {title} along with this {thing}"] = "gnu-copy"
+        out[f"see the gnu {title} for more details"] = "gnu-details"
+    return out
+
+
+def _forms() -> dict[str, list[str]]:
+    """More names of the licences of a family, with the versions that are meant."""
+    out: dict[str, list[str]] = {}
+    for family, (title, versions) in FAMILIES.items():
+        for version in versions:
+            v, f = _spoken(version), family.lower()
+            forms = [f"{name} {word}{n}" for name in (f"gnu {title}", f) for word in ("version ", "v") for n in dict.fromkeys((v, version.replace(".", " ")))] + [f"{f}v{v}"]
+            out[f"{family}-{version}"] = forms
+            out[f"{family}-{version}-or-later"] = [f"{form} {later}" for form in forms for later in ("or later", "or any later version")]
+            out[f"{family}-{version}-only"] = [f"{form} only" for form in forms]
+    return out
+
+
+FORMS = _forms()
+SHORT = list(dict.fromkeys([*FORMS, *NAMES]))
+#: What may follow the first sentence of a notice.
+_NOTICE = [["gnu-hope", "gnu-details", "gnu-copy"], ["gnu-hope", "gnu-details"], ["gnu-hope"], []]
+
 #: Sequences of identifiers, the more particular first.
 RULES = [
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
@@ -89,12 +165,12 @@ RULES = [
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-grant", "apache-copy"]),
     ("Apache-2.0", ["apache-grant"]),
-    ("GPL-3.0-or-later", ["gpl3-free"]),
-    ("GPL-2.0-or-later", ["gpl-free"]),
-    ("LGPL-2.1-or-later", ["lgpl-free"]),
+    *((name, [first, *rest]) for rest in _NOTICE for name, first in (("GPL-3.0-or-later", "gpl3-free"), ("GPL-2.0-or-later", "gpl-free"), ("LGPL-2.1-or-later", "lgpl-free"))),
+    *((n.removeprefix("free-"), [n, *rest]) for rest in _NOTICE for n in dict.fromkeys(_notices().values()) if n.startswith("free-")),
     ("MPL-2.0", ["mpl-notice"]),
     ("Unlicense", ["public-domain"]),
-    *((name, [f"short-{name}"]) for name in NAMES),
+    *((name, [f"short-{name}"]) for name in SHORT),
+    *((name, [f"title-{name}"]) for name in TITLES),
 ]
 
 #: A known sentence and an unknown one of interest hold one of these.
@@ -112,9 +188,9 @@ _MARKED = re.compile(rf"[\W_]*{_NUMBER}[.:)\]]+(?![0-9])", re.IGNORECASE)
 
 
 def _known() -> dict[str, str]:
-    known = {text: i for i, text in SENTENCES.items()}
-    for name, forms in NAMES.items():
-        for form in forms:
+    known = {**_notices(), **{text: f"title-{name}" for name, text in TITLES.items()}, **{text: i for i, text in SENTENCES.items()}}
+    for name in SHORT:
+        for form in dict.fromkeys(FORMS.get(name, []) + NAMES.get(name, [])):
             for phrase in PHRASES:
                 for subject in SUBJECTS:
                     for article in ("", "the ", "a "):
@@ -124,13 +200,18 @@ def _known() -> dict[str, str]:
 
 
 KNOWN = _known()
-_END = ""
+_END, _SLOT = "", "*"
+#: Licences as an SPDX expression names them, without case.
+_SPDX = {name.lower(): name for name in SHORT} | {f"{f}-{v}+".lower(): f"{f}-{v}-or-later" for f, (_, versions) in FAMILIES.items() for v in versions}
+_SPDX_LINE = re.compile(r"spdx-license-identifier\s*:?\s*(.*)", re.IGNORECASE | re.DOTALL)
+_SPDX_WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
 def _trie() -> dict:
-    """Words lead on; _END leads to the identifier."""
+    """Words and slots lead on; _END leads to the identifier."""
     root: dict = {}
-    for sentence, name in KNOWN.items():
+    templates = [(sentence, name) for name, sentences in TEMPLATES.items() for sentence in sentences]
+    for sentence, name in [*KNOWN.items(), *templates]:
         node = root
         for word in sentence.split():
             node = node.setdefault(word, {})
@@ -154,17 +235,40 @@ def hinted(text: str) -> bool:
 def _longest(units: list[list[str]], at: int, skip: int = 0) -> tuple[str | None, int]:
     """The longest known sentence that starts with this unit (after ``skip`` words) and ends with one, and the unit after it."""
     found, after = None, at
-    node: dict | None = _TRIE
+    states: list[tuple[dict, int]] = [(_TRIE, 0)]  # nodes, and the words that a slot before them has taken
     for i in range(at, len(units)):
         for word in units[i][skip:] if i == at else units[i]:
-            node = node.get(word)
-            if node is None:
+            ahead = []
+            for node, taken in states:
+                if word in node:
+                    ahead.append((node[word], 0))
+                if 0 < taken < SLOT:
+                    ahead.append((node, taken + 1))
+                elif not taken and _SLOT in node:
+                    ahead.append((node[_SLOT], 1))
+            if not ahead:
                 return found, after
-        if _END in node:
-            found, after = node[_END], i + 1
+            states = ahead
+        for node, _ in states:
+            if _END in node:
+                found, after = node[_END], i + 1
     return found, after
 
 
+def expression(text: str) -> list[str]:
+    """Identifiers of the licences of an SPDX expression."""
+    out, skip = [], False
+    for word in _SPDX_WORD.findall(text):
+        if word.lower() in ("and", "or", "with"):
+            skip = word.lower() == "with"
+        elif skip:
+            skip = False
+        else:
+            name = _SPDX.get(word.lower().rstrip("."))
+            out.append(f"short-{name}" if name else UNKNOWN)
+    return out
+
+
 def identifiers(text: str) -> list[str | None]:
     """Known, UNKNOWN or (for a stretch of other units) None."""
     raw = [(u, n) for u in _UNIT.split(text) for n in [normalise(u)] if n]
@@ -173,6 +277,13 @@ def identifiers(text: str) -> list[str | None]:
     out: list[str | None] = []
     at = 0
     while at < len(units):
+        if units[at].find("spdx license identifier") >= 0 and (line := _SPDX_LINE.search(raw[at][0])):
+            own = line[1].strip()
+            named = expression(own or (raw[at + 1][0] if at + 1 < len(raw) else ""))
+            if named:
+                out += named
+                at += 1 if own else 2
+                continue
         found, after = _longest(words, at)
         if not found and _MARKER.fullmatch(units[at]):
             at += 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 import corpus_pipeline
 from tallgrass.llm import importance, quality, queries, sanitise
 from tallgrass.llm.importance import kth_largest, order_key, resample, select_quality
-from tallgrass.llm.licences import HINTS, KNOWN, SENTENCES, hinted, identifiers, match_rules, normalise, scan
+from tallgrass.llm.licences import HINTS, KNOWN, SENTENCES, SLOT, TEMPLATES, hinted, identifiers, match_rules, normalise, scan
 from tallgrass.llm.quality import judge
 from tallgrass.llm.sanitise import find, sanitised
 
@@ -71,6 +71,51 @@ def test_licences_by_brute_force(spark):
         assert want <= set(identifiers(t))
 
 
+def test_licences_found_are_in_the_text(spark):
+    """The other direction: each identifier has a sentence of its own in the words of the text."""
+    of: dict = {}
+    for sentence, name in KNOWN.items():
+        of.setdefault(name, []).append(re.escape(sentence))
+    for name, sentences in TEMPLATES.items():
+        of.setdefault(name, []).extend(re.escape(x).replace(r"\*", rf"(?:\w+ ){{0,{SLOT - 1}}}\w+") for x in sentences)
+    n = 0
+    for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        whole = normalise(t or "")
+        for name in set(identifiers(t or "")) - {None, "UNKNOWN"}:
+            n += 1
+            assert any(re.search(rf"(?<!\w){x}(?!\w)", whole) for x in of[name]), (name, t)
+    assert n
+
+
+def test_templates_expressions_and_whole_texts():
+    found = lambda t: match_rules(identifiers(t))
+    bsd = [SENTENCES["bsd-grant"], SENTENCES["bsd-source"], SENTENCES["bsd-binary"]]
+    names, warranty, liability = (TEMPLATES[k][0] for k in ("bsd-names", "bsd-warranty", "bsd-liability"))
+    for who in ("Example Corp.", "the University of Somewhere, Inc", " ".join(["w"] * SLOT)):
+        tail = [names.replace("*", who), warranty.replace("*", who), liability.replace("*", who)]
+        for width in (30, 72):
+            text = lambda x: "\n".join(textwrap.wrap(". ".join(x) + ".", width))  # noqa: B023, E731
+            assert found(text([*bsd, *tail])) == (["BSD-3-Clause"], 0), (who, width)
+            assert found(text([*bsd, *tail[1:]])) == (["BSD-2-Clause"], 0), (who, width)
+    assert identifiers(names.replace("*", " ".join(["w"] * (SLOT + 1)))) == ["UNKNOWN"]
+    spdx = {"MIT OR Apache-2.0": ["Apache-2.0", "MIT"], "(GPL-2.0-only WITH Classpath-exception-2.0) AND bsd-3-clause */": ["GPL-2.0-only", "BSD-3-Clause"], "GPL-3.0+": ["GPL-3.0-or-later"], "LGPL-2.1-or-later": ["LGPL-2.1-or-later"], "Nobody-1.0": []}
+    for written, want in spdx.items():
+        for head in ("/* SPDX-License-Identifier: ", "# spdx-license-identifier:"):
+            assert sorted(found(f"{head}{written}\nint x;")[0]) == sorted(want), written
+    assert identifiers("SPDX-License-Identifier: Nobody-1.0") == ["UNKNOWN"]
+    for text, want in {
+        "Distributed under the terms of the MIT license.": "MIT",
+        "This file is released under the terms of the GNU General Public License v3.0 or later.": "GPL-3.0-or-later",
+        "Licensed under the GPL v2 only": "GPL-2.0-only",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007": "AGPL-3.0",
+        "Apache License\nVersion 2.0, January 2004": "Apache-2.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International Public License": "CC-BY-SA-4.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.": "LGPL-3.0-or-later",
+    }.items():
+        assert found(text) == ([want], 0), text
+    assert found("We wrote about the Apache license, version 2.0, in January 2004 or so.")[0] == []
+
+
 def test_importance_against_plain_models(table, spark, words, monkeypatch):
     good = [(k, " ".join(words(80, k))) for k in range(40)]
     bad = [(100 + k, " ".join(f"{w}%%%" for w in words(80, 500 + k))) for k in range(15)]
