@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import release
-from .common import documents, fresh, located, scratch, sources, staged, text_of
+from .common import documents, fresh, likely, located, scratch, sources, staged, text_of
 from .components import components
 from .ngrams import ngram_hashes, slices, word_hashes
 
@@ -213,7 +213,9 @@ def blocks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def found_links(sketches: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
     """Staged: class, n_texts, n_docs, first (smallest linked class), by meeting."""
-    packed = members.join(sketches.select(F.col("at").alias("class"), "packed"), "class").select("class", "copies", "block", "packed")
+    # a bitmap first, so that only the candidates' texts are shuffled
+    texts = likely(sketches.select(F.col("at").alias("class"), "packed"), ["class"], members, "candidate").where("candidate")
+    packed = members.join(texts, "class").select("class", "copies", "block", "packed")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdDecompressor()
