@@ -86,6 +86,16 @@ SENTENCES = {
     "public-domain": "this is free and unencumbered software released into the public domain",
 }
 
+#: Sentences of whole texts that no other licence of the tables has, for texts without their title.
+CLAUSES = {
+    "GPL-2.0": ["by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"],
+    "GPL-3.0": ["the gnu general public license is a free copyleft license for software and other kinds of works"],
+    "AGPL-3.0": ["the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"],
+    "LGPL-3.0": ["this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"],
+    "BSL-1.0": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "Zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+}
+
 #: Sentences with slots (*), by identifier.
 TEMPLATES = {
     "bsd-names": ["neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission"],
@@ -106,6 +116,7 @@ TITLES = {
     "MPL-2.0": "mozilla public license version 2 0",
     "EPL-2.0": "eclipse public license v 2 0",
     "BSL-1.0": "boost software license version 1 0 august 17th 2003",
+    "CC0-1.0": "cc0 1 0 universal",
     "CC-BY-4.0": "creative commons attribution 4 0 international public license",
     "CC-BY-SA-4.0": "creative commons attribution sharealike 4 0 international public license",
     "CC-BY-NC-4.0": "creative commons attribution noncommercial 4 0 international public license",
@@ -171,10 +182,11 @@ RULES = [
     ("Unlicense", ["public-domain"]),
     *((name, [f"short-{name}"]) for name in SHORT),
     *((name, [f"title-{name}"]) for name in TITLES),
+    *((name, [f"clause-{name}"]) for name in CLAUSES),
 ]
 
 #: A known sentence and an unknown one of interest hold one of these.
-HINTS = ["licen", "copyright", "redistribut", "permission", "warrant", "public domain", "free software", "released under", "distributed under", "available under", "published under", "liable"]
+HINTS = ["licen", "copyright", "redistribut", "permission", "warrant", "public domain", "free software", "released under", "distributed under", "available under", "published under", "liable", "cc0 1 0"]
 _ONE_WORD = [h for h in HINTS if " " not in h]
 _FIRST = list(dict.fromkeys(h.split()[0] for h in HINTS if " " in h))
 #: Hints of several words with anything between them that normalising takes away.
@@ -188,7 +200,8 @@ _MARKED = re.compile(rf"[\W_]*{_NUMBER}[.:)\]]+(?![0-9])", re.IGNORECASE)
 
 
 def _known() -> dict[str, str]:
-    known = {**_notices(), **{text: f"title-{name}" for name, text in TITLES.items()}, **{text: i for i, text in SENTENCES.items()}}
+    clauses = {text: f"clause-{name}" for name, texts in CLAUSES.items() for text in texts}
+    known = {**_notices(), **clauses, **{text: f"title-{name}" for name, text in TITLES.items()}, **{text: i for i, text in SENTENCES.items()}}
     for name in SHORT:
         for form in dict.fromkeys(FORMS.get(name, []) + NAMES.get(name, [])):
             for phrase in PHRASES:

@@ -109,11 +109,17 @@ def test_templates_expressions_and_whole_texts():
         "Licensed under the GPL v2 only": "GPL-2.0-only",
         "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007": "AGPL-3.0",
         "Apache License\nVersion 2.0, January 2004": "Apache-2.0",
+        "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nStatement of Purpose": "CC0-1.0",
+        "By contrast, the GNU General Public\nLicense is intended to guarantee your freedom to share and change free\nsoftware--to make sure the software is free for all its users.  This": "GPL-2.0",
+        "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:": "Zlib",
         "Creative Commons Attribution-ShareAlike 4.0 International Public License": "CC-BY-SA-4.0",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.": "LGPL-3.0-or-later",
     }.items():
         assert found(text) == ([want], 0), text
     assert found("We wrote about the Apache license, version 2.0, in January 2004 or so.")[0] == []
+    assert found("The digest is acc01f0. CC0 is a number here.") == ([], 0)
+    lgpl = "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nBy contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."
+    assert found(lgpl)[0] == ["LGPL-2.1"]
 
 
 def test_importance_against_plain_models(table, spark, words, monkeypatch):
