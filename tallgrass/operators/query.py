@@ -285,7 +285,13 @@ class OrderedQuery:
             c = F.lower(F.nullif(c, F.lit("")))
         i = F.col(f"`{q.id_col}`")
         projection = q._projection(names, renames)
-        df = q.matches().orderBy(*((c.desc_nulls_last(), i.desc()) if self.descending else (c.asc_nulls_first(), i.asc())))
+        rows, order = q.matches(), (c.desc_nulls_last(), i.desc()) if self.descending else (c.asc_nulls_first(), i.asc())
+        if self.n_skip and self.n_take is None:
+            # what comes after the last row skipped, a top-k of keys: an offset alone puts the tail into one task
+            key = F.struct(c.alias("k"), i.alias("i"))
+            last = rows.orderBy(*order).offset(self.n_skip - 1).limit(1).select(key.alias("last")).scalar()
+            return rows.filter(key < last if self.descending else key > last).orderBy(*order).select(*projection)
+        df = rows.orderBy(*order)
         if self.n_skip:
             df = df.offset(self.n_skip)
         if self.n_take is not None:

@@ -21,7 +21,7 @@ class Role(IntEnum):
 
 
 NEEDS = {
-    **dict.fromkeys(["where", "between", "intersect", "search", "searchpartial", "or", "order", "orderdesc", "skip", "take", "select", "selectgrouped", "count", "getids", "last", "getqueue", "status"], Role.READER),
+    **dict.fromkeys(["where", "between", "intersect", "search", "searchpartial", "searchtimelimited", "or", "order", "orderdesc", "skip", "take", "select", "selectstatistics", "selectgrouped", "count", "getids", "last", "getqueue", "status"], Role.READER),
     **dict.fromkeys(["save", "update", "delete", "increment", "increment2", "queue"], Role.WRITER),
     **dict.fromkeys(["propertyindex", "removepropertyindex", "groupindex", "removegroupindex", "replicate"], Role.ADMIN),
 }
@@ -87,6 +87,8 @@ def run(target: Any, request: str, role: Role = Role.ADMIN, queue: Any = None) -
             at = at.search(c["column"], c["query"], c.get("start_step"), c.get("steps"))
         elif do == "searchpartial":
             at = at.search_partial(c["column"], c["query"])
+        elif do == "searchtimelimited":
+            at = at.search_time_limited(c["column"], c["query"], c["max_ms"])
         elif do == "or":
             at = at.or_()
         elif do in ("order", "orderdesc"):
@@ -95,9 +97,11 @@ def run(target: Any, request: str, role: Role = Role.ADMIN, queue: Any = None) -
             at = getattr(at, do)(c["n"])
         elif do == "select":
             return at.select(*c.get("columns", []), **c.get("renamed", {})) if c.get("columns") or c.get("renamed") else at.select_entity()
+        elif do == "selectstatistics":
+            return at.select_with_statistics(*c.get("columns", []), **c.get("renamed", {}))
         elif do == "selectgrouped":
             outputs = {n: "Key" if x == "Key" else Aggregate(*x) for n, x in c["outputs"].items()}
-            return at.group_by(c["column"]).select(**outputs)
+            return at.group_by(c["column"], c.get("per_shard")).select(**outputs)
         elif do == "count":
             return at.count()
         elif do == "getids":

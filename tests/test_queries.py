@@ -126,6 +126,11 @@ def test_order_and_paging(numbers, make):
     assert take(q.order_by("PeriodId").skip(1).take(2)) == [-10, 5]
     assert take(q.order_by("PeriodId").take(3)) == [-15, -10, 5]
     assert take(q.order_by_descending("PeriodId").take(2).skip(1)) == [5, -10]
+    for column in ("PeriodId", "Normalized", "Id"):
+        for ordered in (numbers.order_by(column), numbers.order_by_descending(column)):
+            whole = [r[0] for r in ordered.select("Id").collect()]
+            for n in (0, 1, 3, 5, 6, 9):
+                assert [r[0] for r in ordered.skip(n).select("Id").collect()] == whole[n:], (column, n)
     assert take(q.order_by("PeriodId").take(0)) == []
     nulls = [r[0] for r in numbers.order_by("Normalized").select("Id").collect()]
     assert nulls == [6, 2, 3, 4, 1, 5]
@@ -185,6 +190,10 @@ def test_ids_and_steps(numbers):
 def test_requests_and_roles(numbers):
     text = commands.dumps([{"do": "where", "condition": (f.PeriodId == 5) | (f.Date == dt.datetime(2020, 1, 1))}, {"do": "getids"}])
     assert [r[0] for r in commands.run(numbers, text, commands.Role.READER).ids.collect()] == [1]
+    page, statistics = commands.run(numbers, commands.dumps([{"do": "where", "condition": f.PeriodId < 5}, {"do": "order", "column": "PeriodId"}, {"do": "take", "n": 1}, {"do": "selectstatistics", "columns": ["Id"]}]), commands.Role.READER)
+    assert [r[0] for r in page.collect()] == [5] and statistics.total == 4
+    timed = commands.run(numbers, commands.dumps([{"do": "searchtimelimited", "column": "NameSearch", "query": "word", "max_ms": 60_000}, {"do": "selectstatistics", "columns": ["Id"]}]), commands.Role.READER)
+    assert timed[0].count() == 0 and timed[1].searched_percentile == 100.0
     with pytest.raises(commands.PermissionDenied):
         commands.run(numbers, commands.dumps([{"do": "delete", "ids": [1]}]), commands.Role.READER)
     with pytest.raises(TableError):
