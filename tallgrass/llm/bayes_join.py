@@ -3,9 +3,9 @@
 Two texts are linked when the Jaccard similarity of their sets of SHINGLE-word
 runs is THRESHOLD or more.
 
-1. Every row becomes a set of hashed shingles and a MinHash signature, staged with
-   the packed text.  Rows with the same set are one class, whatever their
-   identifiers, with one of them to represent it; copies are never compared.
+1. Every row becomes a set of hashed shingles and the band keys of its MinHash
+   signature, staged without the text.  Rows with the same set are one class, whatever
+   their identifiers, with one of them to represent it; copies are never compared.
 2. Signatures are cut into BANDS bands of ROWS values.  A pair at the threshold
    shares no band with probability (1 - t**ROWS)**BANDS, about 1e-7.  Classes that
    share a band are candidates.
@@ -15,8 +15,9 @@ runs is THRESHOLD or more.
    near copies meet in one home, and texts tied by a chain of bands do not all meet.
 4. In a meeting, signatures are compared STEP values at a time; a pair is dropped
    once the posterior probability that its similarity reaches the threshold, under a
-   uniform prior, is below TOLERANCE.  What is left is verified on the shingle sets,
-   which are made once for each candidate.
+   uniform prior, is below TOLERANCE.  What is left is verified on the shingle sets.  For
+   these the candidates' texts are read again, and each set is made once for every
+   MEETINGS meetings of its class.
 5. Meetings return, for each class, its number of links and a forest of the links
    they found, never pairs; components of the forests are the result's classes.
 
@@ -29,7 +30,8 @@ of their own each, with their own identifier; a row with a null identifier or wi
 another row's identifier is a document of its own like any other, and a class
 of null identifiers only has a null class_id; repeated rows are copies; ties in size
 go to the larger band key; an empty table gives an empty result; other columns are
-not read.  A very long text is hashed alone, with memory in proportion to it.
+not read.  A very long text is hashed alone, with memory in proportion to it.  Rows
+that are not the same when read again raise an error.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .automaton import release
@@ -53,6 +55,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP = 5, 40, 40
 TOLERANCE = 1e-6
 BLOCK, WEIGHT = 1024, 1 << 19
+#: Meetings for which a class is sent and shingled once.
+MEETINGS = 64
 
 _rng = np.random.default_rng(8191)
 _A = _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -158,74 +162,99 @@ def compared(members: list[tuple[int, int, bool, np.ndarray]], both: bool) -> di
     return {ids[k]: [int(texts[k]), int(docs[k]), ids[root(k)]] for k in np.flatnonzero(texts)}
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``key``, 128 bits of a digest of text and identifier, by which a text is found again."""
+    own = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return rows.withColumn("key", F.unhex(F.substring(F.sha2(F.concat(F.sha2("text", 256), own), 256), 1, 32)))
+
+
 def sketched(rows: DataFrame) -> DataFrame:
     """Staged: at, doc_id, set_id (digest of the shingle set, null if empty), size,
-    bands, packed text and other columns of rows (at, doc_id, text, ...)."""
+    bands and other columns of rows (at, doc_id, text, ...)."""
     others = rows.columns[3:]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        codec = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            digests, sizes, bands, packed = [], [], [], []
-            for s, raw in zip(shingle_sets(batch.column(2)), batch.column(2).cast(pa.large_binary()), strict=True):
+            digests, sizes, bands = [], [], []
+            for s in shingle_sets(batch.column(2)):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
                 bands.append(band_keys(signature(s)) if len(s) else None)
-                packed.append(codec.compress(raw.as_py()))
-            columns = [pa.array(c, t) for c, t in ((digests, pa.binary()), (sizes, pa.int64()), (bands, pa.list_(pa.int64())), (packed, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != 2), *columns], ["at", "doc_id", *others, "set_id", "size", "bands", "packed"])
+            columns = [pa.array(c, t) for c, t in ((digests, pa.binary()), (sizes, pa.int64()), (bands, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != 2), *columns], ["at", "doc_id", *others, "set_id", "size", "bands"])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("at", "doc_id", *others))
-    return staged(rows.mapInArrow(sketch, f"{kept}, set_id binary, size long, bands array<long>, packed binary"), "signatures")
+    return staged(rows.mapInArrow(sketch, f"{kept}, set_id binary, size long, bands array<long>"), "signatures")
 
 
 def classes(sketches: DataFrame) -> DataFrame:
     """Staged: class (of the rows with a set the one with the smallest identifier),
-    set_id, first_id (this identifier), copies, size, bands."""
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "size", "bands")).alias("own")
+    key, set_id, first_id (this identifier), copies, size, bands."""
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "key", "size", "bands")).alias("own")
     sets = sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(own, F.count(F.lit(1)).alias("copies"))
-    return staged(sets.select(F.col("own.at").alias("class"), "set_id", F.col("own.doc_id").alias("first_id"), "copies", "own.size", "own.bands"), "sets")
+    return staged(sets.select(F.col("own.at").alias("class"), "own.key", "set_id", F.col("own.doc_id").alias("first_id"), "copies", "own.size", "own.bands"), "sets")
 
 
 def blocks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Staged: (class, copies, block) of the candidates, and (block, a, b): its meetings."""
+    """Staged: (class, key, copies, block) of the candidates, and (block, a, b): its meetings."""
     banded = sets.select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = staged(banded.join(shared, "band").select("class", "band", "first"), "bands")
+    # one shuffle of the bands, not one to count them and one to join
+    own = Window.partitionBy("band")
+    counted = banded.select("class", "band", F.min("class").over(own).alias("first"), F.count(F.lit(1)).over(own).alias("n"))
+    ties = staged(counted.where("n > 1").drop("n"), "bands")
     # twice, so that a member of a large group that misses its first class comes to its home as well
     near = ties.groupBy("class").agg(F.min("first").alias("home"))
     by_band = ties.join(near, "class").groupBy("band").agg(F.min("home").alias("home"))
-    homes = ties.select("class", "band").join(by_band, "band").groupBy("class").agg(F.min("home").alias("home")).join(sets.select("class", "copies", "size"), "class")
+    homes = ties.select("class", "band").join(by_band, "band").groupBy("class").agg(F.min("home").alias("home")).join(sets.select("class", "key", "copies", "size"), "class")
     homes = staged(homes, "homes")
     full = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / WEIGHT)).alias("n_blocks"))
-    placed = staged(homes.join(full, "home").select("class", "copies", F.xxhash64("home", F.pmod(F.xxhash64("class"), "n_blocks")).alias("block")), "blocks")
+    placed = staged(homes.join(full, "home").select("class", "key", "copies", F.xxhash64("home", F.pmod(F.xxhash64("class"), "n_blocks")).alias("block")), "blocks")
     inside = ties.join(placed.select("class", "block"), "class").select("band", "block").distinct()
     several = staged(inside.groupBy("band").agg(F.collect_set("block").alias("blocks")).where("size(blocks) > 1"), "block-bands")
     # blocks of a band, not its texts: BLOCK times fewer
     ordered = several.select(F.array_sort("blocks").alias("blocks")).distinct()
     meetings = ordered.select("blocks", F.posexplode("blocks").alias("i", "a")).select("a", F.explode(F.expr("slice(blocks, i + 2, size(blocks))")).alias("b")).distinct()
     meetings = staged(meetings, "meetings")
-    alone = placed.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()
+    alone = placed.groupBy(F.col("block").alias("a"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     both = meetings.select(F.col("a").alias("block"), "a", "b").union(meetings.select(F.col("b").alias("block"), "a", "b"))
     return placed, both.union(alone.select(F.col("a").alias("block"), "a", "b"))
 
 
-def found_links(sketches: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Staged: class, n_texts, n_docs, first (smallest linked class), by meeting."""
+def packed_texts(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, packed): texts of ``rows`` that ``members`` may want, one for each key."""
     # a bitmap first, so that only the candidates' texts are shuffled
-    texts = likely(sketches.select(F.col("at").alias("class"), "packed"), ["class"], members, "candidate").where("candidate")
-    packed = members.join(texts, "class").select("class", "copies", "block", "packed")
+    texts = likely(rows.select("key", "text"), ["key"], members, "candidate").where("candidate").select("key", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [codec.compress(raw.as_py()) for raw in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["key", "packed"])
+
+    # a row that is there twice has its key twice
+    return texts.mapInArrow(pack, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
+
+
+def found_links(rows: DataFrame, members: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Staged: class, n_texts, n_docs, first (smallest linked class), by meeting."""
+    # meetings come to the classes before the texts do, so that shingles are shuffled once, to their meetings
+    listed = meetings.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("m"))
+    some = F.explode(F.expr(f"transform(sequence(0, int((size(m) - 1) div {MEETINGS})), i -> slice(m, i * {MEETINGS} + 1, {MEETINGS}))"))
+    packed = members.join(listed.select("block", some.alias("meets")), "block").join(packed_texts(rows, members), "key", "left").select("class", "copies", "block", "meets", "packed")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = pa.array([codec.decompress(x.as_py()).decode() for x in batch.column(3)], pa.large_string())
+            if batch.column(4).null_count:
+                raise RuntimeError("rows are not the same when they are read again")
+            texts = pa.array([codec.decompress(x.as_py()).decode() for x in batch.column(4)], pa.large_string())
             made = [np.concatenate([signature(s).view(np.uint64), s]).tobytes() for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(made, pa.binary())], ["class", "copies", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(made, pa.binary())], ["class", "copies", "block", "meets", "shingles"])
 
-    shingled = staged(packed.mapInArrow(unpack, "class long, copies long, block long, shingles binary"), "shingles")
-    dealt = shingled.join(meetings, "block").select("a", "b", "class", "copies", "block", "shingles").repartition("a", "b").sortWithinPartitions("a", "b", "class")
+    shingled = packed.mapInArrow(unpack, "class long, copies long, block long, meets array<struct<a: long, b: long>>, shingles binary")
+    each = shingled.select(F.explode("meets").alias("m"), "class", "copies", "block", "shingles")
+    dealt = each.select("m.a", "m.b", "class", "copies", "block", "shingles").repartition("a", "b").sortWithinPartitions("a", "b", "class")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
@@ -258,9 +287,10 @@ def linked_rows(rows: DataFrame) -> DataFrame:
 
 
 def _linked_rows(rows: DataFrame) -> DataFrame:
-    sketches = sketched(rows)
+    texts = keyed(rows)
+    sketches = sketched(texts)
     sets = classes(sketches)
-    linked = found_links(sketches, *blocks(sets))
+    linked = found_links(texts, *blocks(sets))
     degree = linked.groupBy("class").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     joined = components(linked.select(F.col("class").alias("u"), F.col("first").alias("v"))).withColumnsRenamed({"node": "class"})
     groups = staged(joined.join(sets.select("class", "first_id"), "class"), "groups")

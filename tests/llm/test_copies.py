@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
+from urllib.request import url2pathname
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +204,36 @@ def test_similar_around_a_hub_and_along_a_chain(table, words, monkeypatch):
     check_links(table, chain + hub)
 
 
+def test_texts_and_shingles_are_not_staged(table, monkeypatch):
+    """What op2 stages takes a small part of the texts' room, also where all texts have links."""
+    r, stage, size = random.Random(3), bayes_join.staged, Counter()
+
+    def counted(df, name, last=False):
+        out = stage(df, name, last)
+        size[name] += sum(Path(url2pathname(urlparse(f).path)).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(bayes_join, "staged", counted)
+    rows = [(2 * k, " ".join(f"{r.getrandbits(32):08x}" for _ in range(2000))) for k in range(40)]
+    rows += [(k + 1, f"{t} end") for k, t in rows]
+    assert {x["n_links"] for x in similar(table(rows)).collect()} == {1}
+    assert 0 < sum(size.values()) < 0.2 * sum(len(t) for _, t in rows), size
+
+
+def test_classes_of_many_meetings(table, words, monkeypatch):
+    monkeypatch.setattr(bayes_join, "BLOCK", 4)
+    monkeypatch.setattr(bayes_join, "MEETINGS", 2)
+    near = around(words(150, 12), 40, 0, 4)
+    check_links(table, near + near[:5])
+
+
+def test_rows_that_change_between_reads(table, words):
+    text = " ".join(words(80, 13))
+    other = F.udf(lambda t: f"{t} {random.SystemRandom().random()}").asNondeterministic()
+    with pytest.raises(Exception, match="not the same"):
+        similar(table([(k, text) for k in range(4)]).withColumn("text", other("text"))).count()
+
+
 def test_recall_on_documents(spark):
     """All links of an exact join over the table are found."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
