@@ -15,7 +15,8 @@ it less the least of these (the residual).  At each position the shortest of the
 that end there goes on.  Each transition carries the change of the piece count, so the
 sum of what is emitted along a text is its number of tokens.  States and transitions
 are made when first met; ``max_states`` bounds them (the table is dropped and built
-anew beyond it).
+anew beyond it).  A transition is one number, its state and the change of the count;
+rows of states that are not made yet take no memory.
 
 ``run`` splits the input into chunks of equal length.  Each chunk gets its state map,
 (entry state) -> (exit state, number of tokens), on the states that it can be entered
@@ -28,10 +29,13 @@ over many chunks), the chunks concerned are run from their true entries in order
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import weakref
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 RESET = 0xFF
 BOS, UNKNOWN = -1, -2
@@ -41,9 +45,28 @@ _tables: weakref.WeakSet = weakref.WeakSet()
 
 
 def release() -> None:
-    """Drops the tables of this process, where other work goes on in a reused worker."""
+    """Drops the tables of this process, where other work goes on in a reused worker,
+    and gives the system back what they and earlier batches took."""
+    some = False
     for automaton in _tables:
+        some |= len(automaton._keys) > 1
         automaton._clear()
+        automaton._memo.clear()
+    if some:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the GNU library
+            pass
+
+
+def _rows(old: np.ndarray, rows: int, width: int, used: int, dtype=None) -> np.ndarray:
+    """A larger table with the first ``used`` rows of ``old``; the others are not touched."""
+    out = np.empty((rows, width), dtype or old.dtype)
+    out[:used, : old.shape[1]] = old[:used]
+    out[:used, old.shape[1] :] = -1
+    return out
 
 
 class MergeAutomaton:
@@ -95,8 +118,9 @@ class MergeAutomaton:
         self._index: dict[bytes, int] = {}
         self._column = np.full(256, -1, np.int32)
         self._bytes: list[int] = []
-        self._next = np.full((1024, 32), -1, np.int32)
-        self._emit = np.zeros((1024, 32), np.int8)
+        #: by state and column: next state << _shift | change of the count + _zero; -1 where not made
+        self._table = np.empty((1024, 32), np.int32)
+        self._shift, self._zero = 8, 128
         self.last = np.full(1024, BOS, np.int32)
         self.final = np.full(1024, BOS, np.int32)
         self._state((0, 0, 0, ((0, BOS, 0, 0),)))
@@ -120,11 +144,11 @@ class MergeAutomaton:
         if at is None:
             at = self._index[packed] = len(self._keys)
             self._keys.append(packed)
-            if at >= len(self._next):
-                self._next = np.concatenate([self._next, np.full_like(self._next, -1)])
-                self._emit = np.concatenate([self._emit, np.zeros_like(self._emit)])
+            if at >= len(self._table):
+                self._table = _rows(self._table, 2 * at, self._table.shape[1], at)
                 self.last = np.concatenate([self.last, np.full_like(self.last, BOS)])
                 self.final = np.concatenate([self.final, np.full_like(self.final, BOS)])
+            self._table[at] = -1
             self.last[at] = live[0][1] if left_over == 0 else BOS
             if self.closing:
                 self.final[at] = self._finish(live)[0]
@@ -167,36 +191,42 @@ class MergeAutomaton:
         return (0, 0, 0, ((0, piece, 0, weight - least), *((n, p, r - made, w - least) for n, p, r, w in moved))), made
 
     def _fill(self, states, symbols) -> None:
-        width = self._next.shape[1]
+        width = self._table.shape[1]
         for code in np.unique(states.astype(np.int64) * width + symbols).tolist():
             at, col = divmod(code, width)
-            if self._next[at, col] < 0:
+            if self._table[at, col] < 0:
                 key, made = self._step(self._key(at), self._bytes[col])
                 to = self._state(key)
-                if not -128 <= made <= 127 and self._emit.dtype == np.int8:
-                    self._emit = self._emit.astype(np.int16)
-                self._next[at, col], self._emit[at, col] = to, made
+                if self._shift == 8 and (to >= 1 << 23 or not -128 <= made <= 127):
+                    self._widen()
+                self._table[at, col] = to << self._shift | made + self._zero
+
+    def _widen(self) -> None:
+        """From 23 bits of a state and 8 of a change to 47 and 16."""
+        used = len(self._keys)
+        wide = _rows(self._table, *self._table.shape, used, np.int64)
+        some = wide[:used]
+        wide[:used] = np.where(some < 0, -1, some >> 8 << 16 | (some & 0xFF) - 128 + (1 << 15))
+        self._table, self._shift, self._zero = wide, 16, 1 << 15
 
     def _columns(self, buf):
         for b in np.flatnonzero(np.bincount(buf, minlength=256)).tolist():
             if self._column[b] < 0:
                 self._column[b] = len(self._bytes)
                 self._bytes.append(b)
-        if len(self._bytes) > self._next.shape[1]:
-            more = -(-len(self._bytes) // 8) * 8 - self._next.shape[1]
-            self._next = np.pad(self._next, ((0, 0), (0, more)), constant_values=-1)
-            self._emit = np.pad(self._emit, ((0, 0), (0, more)))
+        if len(self._bytes) > self._table.shape[1]:
+            self._table = _rows(self._table, len(self._table), -(-len(self._bytes) // 8) * 8, len(self._keys))
         return self._column[buf]
 
     def _advance(self, states, symbols):
-        width = self._next.shape[1]
-        at = states * width + symbols
-        to = self._next.ravel()[at]
-        missing = to < 0
+        at = states * self._table.shape[1] + symbols
+        found = self._table.ravel()[at]
+        missing = found < 0
         if missing.any():
             self._fill(states[missing], symbols[missing])
-            to = self._next.ravel()[at]
-        return to, self._emit.ravel()[at]
+            found = self._table.ravel()[at]
+        to = (found >> self._shift).astype(np.int32, copy=False)
+        return to, (found & 2 * self._zero - 1) - self._zero
 
     def run(self, buf: np.ndarray, chunk: int = 256):
         """State after each byte of ``buf``, and the number of pieces up to it."""

@@ -1,6 +1,8 @@
 """Operators 3, 6 and 7 against the libraries and brute force."""
 
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallgrass.llm.automaton import MergeAutomaton, scan
+from tallgrass.llm.automaton import MergeAutomaton, release, scan
 from tallgrass.llm.packing import TightestFit, pack, plan
 from tallgrass.llm.piecevocab import Normaliser, PieceVocabulary, decode, digest, encode
 from tallgrass.llm.token_count import token_counts
@@ -110,6 +112,34 @@ def test_automaton_without_pieces_for_a_character():
     assert made[-1] == 3 and a.trace(np.frombuffer("aé".encode(), np.uint8), states).tolist() == [0, -2, -1]
 
 
+def test_release_gives_back_what_the_tables_took(vocabulary):
+    def held():
+        return sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())) / 1024
+
+    r = np.random.default_rng(6)
+    texts = ["".join(map(chr, r.integers(97, 123, 60_000))) for _ in range(4)]
+    release()
+    before = held()
+    counts, grown = vocabulary.counts(texts).tolist(), held()
+    assert len(vocabulary.automaton._memo)
+    release()
+    assert not vocabulary.automaton._memo and held() - before < (grown - before) / 2
+    assert vocabulary.counts(texts).tolist() == counts
+
+
+def test_a_transition_is_one_number_and_large_changes_widen_it():
+    """300 pieces are taken back at once where only one long piece can close the word."""
+    word = b"a" * 300 + b"b"
+    for chunk in (1, 16, 256, 1000):
+        a = MergeAutomaton([(0, b"a", False), (1, word, True), (2, b"ab", True)], lambda x, y: y == 0 or x == -1, closing=True)
+        total = a.run(np.frombuffer(b"ab\xffab\xff", np.uint8), chunk)[1]
+        assert total[[2, 5]].tolist() == [1, 2] and a._table.itemsize == 4
+        buf = np.frombuffer(b"ab\xff" + word + b"\xffab\xff", np.uint8)
+        for _ in range(2):
+            total = a.run(buf, chunk)[1]
+            assert total[[2, 303, 304, 307]].tolist() == [1, 301, 2, 3] and a._table.itemsize == 8
+
+
 def test_counts_of_a_table(table, rows, library):
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts(table(rows)).collect())
     want = [len(e.ids) for e in library.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
